@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.history import duplicates_of_history
 from siltstone.llm.survivor import duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
 from siltstone.operators.hierarchy import current_rows
@@ -16,12 +17,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(files, "volume_id", "size_logical", "file_id", 10, unique=True).select("volume_id", "rank_no", "file_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = table(spark, sf_dir, "file_entry").select("size_logical", "sha256", "head_tail")
+    return duplicates_of_history(catalog, table(spark, sf_dir, "incoming_entry"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "scan_host")
     return duplicate_group_survivors(table(spark, sf_dir, "duplicate_group"), hosts, hosts.count())
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
@@ -31,6 +37,25 @@ SELECT * FROM (
   SELECT volume_id, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY size_logical DESC, file_id) AS INTEGER) AS rank_no, file_id
   FROM ({_CURRENT}) WHERE NOT deleted AND size_logical IS NOT NULL
 ) WHERE rank_no <= 10
+""",
+    "p4_found": """
+WITH old AS (
+  SELECT DISTINCT -1 AS pos, size_logical AS size, lower(hex(sha256)) AS sha, lower(hex(head_tail)) AS ht FROM file_entry WHERE size_logical >= 1024
+), new AS (
+  SELECT DISTINCT entry_id AS pos, size_logical AS size,
+    CASE WHEN length(sha256) = 44 THEN lower(hex(from_base64(sha256))) ELSE lower(replace(replace(trim(sha256), 'sha256:', ''), ':', '')) END AS sha,
+    lower(replace(trim(head_tail), ':', '')) AS ht
+  FROM incoming_entry WHERE size_logical >= 1024
+), every AS (
+  SELECT * FROM old UNION ALL SELECT * FROM new
+), exact AS (
+  SELECT n.pos FROM new n JOIN every e ON n.sha = e.sha AND n.size = e.size AND e.pos < n.pos
+  UNION SELECT n.pos FROM new n JOIN every e ON n.ht = e.ht AND n.size = e.size AND e.pos < n.pos AND (n.sha IS NULL OR e.sha IS NULL)
+), near AS (
+  SELECT DISTINCT n.pos FROM new n JOIN every e ON n.ht = e.ht AND e.pos < n.pos AND abs(n.size - e.size) * 100 <= greatest(n.size, e.size)
+)
+SELECT pos AS entry_id, 'exact' AS kind FROM exact
+UNION ALL SELECT pos, 'near' FROM near WHERE pos NOT IN (SELECT pos FROM exact)
 """,
     "p7_found": """
 WITH member AS (
