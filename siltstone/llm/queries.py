@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.history import duplicates_of_history
+from siltstone.llm.packing import pack_documents
 from siltstone.llm.survivor import duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
 from siltstone.operators.hierarchy import current_rows
@@ -27,7 +28,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_group_survivors(table(spark, sf_dir, "duplicate_group"), hosts, hosts.count())
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).first()[0]
+    placements, _, _ = pack_documents(table(spark, sf_dir, "documents"), capacity)
+    return placements.where("n_pieces > 1").select("doc_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
