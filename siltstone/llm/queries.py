@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.contamination import leaked_items
 from siltstone.llm.history import duplicates_of_history
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.survivor import duplicate_group_survivors
@@ -34,7 +35,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placements.where("n_pieces > 1").select("doc_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
