@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.contamination import leaked_items
 from siltstone.llm.history import duplicates_of_history
+from siltstone.llm.language import languages_not_named
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.survivor import duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
@@ -39,7 +40,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages_not_named(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p10_found": p10_found}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
