@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.contamination import leaked_items
 from siltstone.llm.history import duplicates_of_history
 from siltstone.llm.language import languages_not_named
+from siltstone.llm.neighbours import expanded_pairs, similar_vectors
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.survivor import duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
@@ -25,6 +26,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates_of_history(catalog, table(spark, sf_dir, "incoming_entry"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = current_rows(table(spark, sf_dir, "file_entry"), ["volume_id", "file_id"], "seq", ["deleted", "perceptual_hash"])
+    rows = files.where("not deleted and perceptual_hash is not null").select(F.col("file_id").alias("id"), F.col("perceptual_hash").alias("vector"))
+    pairs = expanded_pairs(*similar_vectors(rows))
+    return pairs.select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "scan_host")
     return duplicate_group_survivors(table(spark, sf_dir, "duplicate_group"), hosts, hosts.count())
@@ -44,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_not_named(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p10_found": p10_found}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
@@ -73,6 +81,15 @@ WITH old AS (
 )
 SELECT pos AS entry_id, 'exact' AS kind FROM exact
 UNION ALL SELECT pos, 'near' FROM near WHERE pos NOT IN (SELECT pos FROM exact)
+""",
+    "p5_found": f"""
+WITH f AS (
+  SELECT file_id, CAST('0x' || hex(perceptual_hash)[1:16] AS UBIGINT) AS hi, CAST('0x' || hex(perceptual_hash)[17:32] AS UBIGINT) AS lo
+  FROM ({_CURRENT}) WHERE NOT deleted AND perceptual_hash IS NOT NULL
+)
+SELECT a.file_id AS file_id_a, b.file_id AS file_id_b
+FROM (SELECT * FROM f WHERE hi <> 0 OR lo <> 0) a JOIN (SELECT * FROM f WHERE hi <> 0 OR lo <> 0) b ON a.file_id < b.file_id
+WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12
 """,
     "p7_found": """
 WITH member AS (
