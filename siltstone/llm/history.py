@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.runtime import BROADCAST_ROWS, Scratch
+from siltstone.runtime import Scratch
 
 #: Smallest file that takes part.
 LEAST_SIZE = 1024
@@ -34,6 +34,8 @@ WIDTHS = {"s": 40, "h": 25}
 #: Coverage, in bytes, from which a record counts as an exact copy.
 EXACT_BYTES = 24
 NEAR_BYTES = 16
+#: Searches of a batch, of under 100 bytes each, that may be broadcast to the segments.
+BROADCAST_SEARCHES = 600_000
 _BEFORE_ALL = -(2**63)
 _SEGMENT = "kind string, bucket int, suffixes binary, positions binary"
 _ASKED = "kind string, bucket int, entries binary, low binary, high binary, cover binary"
@@ -201,7 +203,7 @@ class History:
         packed = asked.groupBy("kind", "bucket", F.shiftright("entry_id", 13)).applyInArrow(_pack_searches, _ASKED)
         self.made += 1
         packed = self.scratch.write(packed, f"asked{self.made}", n=F.sum(F.octet_length("cover") / 4))
-        small = (self.scratch.rows[f"asked{self.made}.n"] or 0) <= BROADCAST_ROWS
+        small = (self.scratch.rows[f"asked{self.made}.n"] or 0) <= BROADCAST_SEARCHES
         found = None
         for _, _, segment in self.levels:
             one = segment.join(F.broadcast(packed) if small else packed, ["kind", "bucket"]).mapInArrow(_look_up, _COVERED)

@@ -5,8 +5,8 @@ and packed there by best fit, largest first.  Dual-feasible functions map item
 sizes so that their sum is a lower bound on the containers any packing needs;
 the sums add up over partitions, which certifies the packing as a whole.
 Containers that a partition leaves with a gap give their items back; these
-exchange partitions and are packed again, in ever fewer partitions, until the
-bound is met or all of the rest was packed in one.
+exchange partitions and are packed again, in ever fewer partitions, until the bound is
+met, the rest fits one partition, or packing it again saves no more containers.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 PARTITION_ITEMS = 20_000
 #: A container with more than this share free gives its items back.
 GAP = 1 / 64
+#: Another exchange is made only if the last one saved this share of containers.
+GAIN = 1 / 200
 #: Thresholds of the dual-feasible functions, as shares of the capacity.
 THRESHOLDS = np.arange(1, 33) / 64
 
@@ -150,21 +152,27 @@ def pack_documents(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZ
         split.where("tokens = 0").select("doc_id", "piece_no", "tokens", F.lit(None).cast("string").alias("container_id")),
     ]
     n_whole = whole.count()
-    total, bound, round_no, left = n_whole, None, 0, items
+    total, bound, round_no, left, before = n_whole, None, 0, items, None
     while left:
         parts = max(1, -(-left // PARTITION_ITEMS))
         parted = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(round_no)), F.lit(parts)).cast("int"))
         packed = parted.groupBy("part").applyInPandas(_pack_part(capacity, parts == 1), _PACKED)
-        is_open, is_placed = F.col("kind") == "open", F.col("kind") == "placed"
+        is_open, is_item = F.col("kind") == "open", F.col("kind") != "sums"
         name = f"round{round_no}"
         packed = scratch.write(packed, name, open=F.count_if(is_open))
         if bound is None:
             # One vector of sums per partition, added up in the executors.
             sums = packed.where("kind = 'sums'").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
             bound = n_whole + lower_bound(np.array([r["v"] for r in sums]))
-        total += packed.where(is_placed).select("part", "bin").distinct().count()
-        placed.append(packed.where(is_placed).select("doc_id", "piece_no", "tokens", container(round_no)))
+        bins = packed.where(is_item).select("part", "bin", is_open.alias("open")).distinct().agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("open")).first()
+        left = scratch.rows[f"{name}.open"]
+        if before is not None and bins["n"] > before * (1 - GAIN):
+            left = 0  # no exchange helps any more: everything stays where it is
+        keep = is_item & ~is_open if left else is_item
+        total += bins["n"] - (bins["open"] if left else 0)
+        before = bins["open"]
+        placed.append(packed.where(keep).select("doc_id", "piece_no", "tokens", container(round_no)))
         rest = packed.where(is_open).select("doc_id", "piece_no", "tokens")
-        left, round_no = scratch.rows[f"{name}.open"], round_no + 1
+        round_no += 1
     out = reduce(DataFrame.unionByName, placed).join(counts, "doc_id").select("doc_id", "piece_no", "n_pieces", "tokens", "container_id")
     return out, total, bound if bound is not None else n_whole

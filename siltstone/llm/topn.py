@@ -19,7 +19,7 @@ from siltstone.runtime import BROADCAST_ROWS, Scratch, hot_limit, lookup_join, m
 
 #: Pieces into which each interval is cut in a round.
 PIECES = 64
-_MOST = F.lit(2**63 - 1)
+_MOST = 2**63 - 1
 
 
 def _piece(high: Column, low: Column, down: Column) -> Column:
@@ -64,7 +64,7 @@ def top_n_per_group(rows: DataFrame, group: str, score: str, ident: str, n: int,
     hot = None
     if scratch.rows["codes"] >= hot_limit(scratch.rows["codes"]):
         hot = scratch.write(bounds.where(F.col("n") >= hot_limit(scratch.rows["codes"])).select("g"), "hot")
-    cutoffs = [bounds.where(F.col("n") <= n).select("g", F.col("lo_s").alias("cut_s"), _MOST.alias("cut_t"))]
+    cutoffs = [bounds.where(F.col("n") <= n).select("g", F.col("lo_s").alias("cut_s"), F.lit(_MOST).alias("cut_t"))]
     intervals = ["lo_s", "hi_s", "lo_t", "hi_t"]
     state = bounds.where(F.col("n") > n).select("g", F.lit(n).cast("bigint").alias("need"), *intervals)
     left, undecided, held, k = scratch.rows["bounds.open"], scratch.rows["bounds.undecided"] or 0, scratch.rows["codes"], 0
@@ -79,7 +79,7 @@ def top_n_per_group(rows: DataFrame, group: str, score: str, ident: str, n: int,
         more = F.col("upto") > F.col("need")
         cut = scratch.write(cut, f"cut{k}", open=F.count_if(more), undecided=F.sum(F.when(more, F.col("n"))))
         left, undecided = scratch.rows[f"cut{k}.open"], scratch.rows[f"cut{k}.undecided"] or 0
-        cutoffs.append(cut.where(~more).select("g", F.col("lo_s").alias("cut_s"), F.when(F.col("by_score"), _MOST).otherwise(F.col("hi_t")).alias("cut_t")))
+        cutoffs.append(cut.where(~more).select("g", F.col("lo_s").alias("cut_s"), F.when(F.col("by_score"), F.lit(_MOST)).otherwise(F.col("hi_t")).alias("cut_t")))
         state = cut.where(more).select("g", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), *intervals)
     every = reduce(DataFrame.unionByName, cutoffs)
     best = _attach(codes, every, scratch.rows["bounds"], hot).where("s > cut_s or (s = cut_s and t <= cut_t)")
