@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "es", "de", "fr", "pt", "it", "ru")
@@ -175,9 +175,10 @@ def train(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Classifier |
     None if there are none."""
     each = max(1, sample // len(LANGUAGES))
     labelled = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", named_language(F.col("lang")).alias("named")).where("named is not null and text is not null")
-    rows = []
-    for code in LANGUAGES:  # a bounded draw for each
-        rows += labelled.where(F.col("named") == code).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(each).collect()
+    # The draw needs no texts, and a rank limit is applied before its shuffle.
+    order = Window.partitionBy("named").orderBy(F.xxhash64("doc_id"), "doc_id")
+    drawn = labelled.select("doc_id", "named").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("doc_id", "named")
+    rows = labelled.join(F.broadcast(drawn.distinct()), ["doc_id", "named"], "left_semi").orderBy("doc_id", "text").limit(sample).collect()
     texts, labels = [], []
     for r in rows:
         for _, _, words, n in sentences(r["text"]):
