@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import general
+from siltstone.plans import catalog, general
 
-MODULES = (general,)
+MODULES = (general, catalog)
 
 
 def queries() -> dict:
