@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import catalog, general
+from siltstone.plans import catalog, content, general
 
-MODULES = (general, catalog)
+MODULES = (general, catalog, content)
 
 
 def queries() -> dict:
