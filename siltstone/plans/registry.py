@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import catalog, content, general
+from siltstone.plans import catalog, content, forensic, general
 
-MODULES = (general, catalog, content)
+MODULES = (general, catalog, content, forensic)
 
 
 def queries() -> dict:
