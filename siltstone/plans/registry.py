@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import catalog, content, forensic, general
+from siltstone.plans import analysis, catalog, content, forensic, general
 
-MODULES = (general, catalog, content, forensic)
+MODULES = (general, catalog, content, forensic, analysis)
 
 
 def queries() -> dict:
