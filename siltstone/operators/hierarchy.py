@@ -27,7 +27,7 @@ def current_rows(df: DataFrame, key: list[str], seq: str, values: list[str]) ->
     Rows of equal ``seq`` are told apart by their values, the greatest wins, so
     that the result does not depend on row order.  A null ``seq`` is the lowest.
     """
-    best = F.max(F.struct(F.col(seq), *values)).alias("_best")
+    best = F.max(F.struct(F.col(seq).alias("_order"), *values)).alias("_best")
     return df.groupBy(*key).agg(best).select(*key, *(F.col(f"_best.{v}").alias(v) for v in values))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,28 @@ def squarify(sizes: list[float], x: float, y: float, w: float, h: float) -> list
     return out
 
 
+#: Items that are laid out together in one Python call, whole parents each.
+CALL_ITEMS = 50_000
+
+
+def _laid_out(shown: DataFrame, n: int, place) -> DataFrame:
+    """``place(sizes)`` of each parent's items by rank; many parents share a call."""
+    calls = max(1, n // CALL_ITEMS)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["parent", "size", "rank_no"], ascending=[True, False, True])
+        spots: list[tuple[float, float, float, float]] = []
+        ends = np.flatnonzero(np.diff(pdf["parent"].to_numpy())) + 1
+        sizes = pdf["size"].to_numpy(dtype=np.float64)
+        for some in np.split(sizes, ends):
+            spots += place(some.tolist())
+        x, y, w, h = np.array(spots).T
+        return pd.DataFrame({"parent": pdf["parent"].to_numpy(), "id": pdf["id"].to_numpy(), "x": x, "y": y, "w": w, "h": h})
+
+    keyed = shown.withColumn("_call", F.pmod(F.xxhash64("parent"), F.lit(calls)))
+    return keyed.groupBy("_call").applyInPandas(run, "parent long, id long, x double, y double, w double, h double")
+
+
 def _worst(most: float, least: float, total: float, side: float) -> float:
     return max(side * side * most / (total * total), total * total / (side * side * least)) if least and total and side else 0.0
 
@@ -55,12 +78,7 @@ def _worst(most: float, least: float, total: float, side: float) -> float:
 def squarified(items: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFrame:
     """(parent, id, x, y, w, h) of each parent's items within its rectangle."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "rank_no"], ascending=[False, True])
-        spots = squarify(pdf["size"].astype(float).tolist(), 0.0, 0.0, width, height)
-        return pd.DataFrame(spots, columns=["x", "y", "w", "h"]).assign(parent=pdf["parent"].to_numpy(), id=pdf["id"].to_numpy())[["parent", "id", "x", "y", "w", "h"]]
-
-    return shown_items(items).groupBy("parent").applyInPandas(place, "parent long, id long, x double, y double, w double, h double")
+    return _laid_out(shown_items(items), items.count(), lambda sizes: squarify(sizes, 0.0, 0.0, width, height))
 
 
 def strips(items: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFrame:
@@ -83,18 +101,17 @@ def shelves(items: DataFrame, width: float = 1.0, height: float = 1.0) -> DataFr
     """(parent, id, x, y, w, h): squares of the items' areas, from left to right; a
     shelf ends when it passes the right edge."""
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank_no")
-        whole, x, y, tall, out = float(pdf["size"].sum()), 0.0, 0.0, 0.0, []
-        for size in pdf["size"]:
+    def place(sizes: list[float]) -> list[tuple[float, float, float, float]]:
+        whole, x, y, tall, out = sum(sizes), 0.0, 0.0, 0.0, []
+        for size in sizes:
             side = (size / whole * width * height) ** 0.5
             out.append((x, y, side, side))
             x, tall = x + side, max(tall, side)
             if x > width:
                 x, y, tall = 0.0, y + tall, 0.0
-        return pd.DataFrame(out, columns=["x", "y", "w", "h"]).assign(parent=pdf["parent"].to_numpy(), id=pdf["id"].to_numpy())[["parent", "id", "x", "y", "w", "h"]]
+        return out
 
-    return shown_items(items).groupBy("parent").applyInPandas(place, "parent long, id long, x double, y double, w double, h double")
+    return _laid_out(shown_items(items), items.count(), place)
 
 
 def contains(x: Column, y: Column) -> Column:

@@ -103,7 +103,8 @@ def filter_logs(logs: DataFrame, *, start: str = "", end: str = "", source: str
     for name, wanted in (("source", source), ("level", level), ("host", host), ("process", process), ("message", keyword)):
         if wanted:
             keep = keep & F.coalesce(F.lower(name).contains(wanted.lower()), F.lit(True))
-    return logs.where(keep & F.coalesce(level_class(F.col("level")).isin(*classes), F.lit(True)))
+    kind = level_class(F.col("level"))
+    return logs.where(keep & (kind.isNull() | kind.isin(*classes)))
 
 
 def log_statistics(logs: DataFrame, *keys: str) -> DataFrame:
