@@ -40,8 +40,8 @@ def _hot(scratch: Scratch, name: str, by_target: DataFrame, rows: int) -> DataFr
     return kept if scratch.rows[name] else None
 
 
-def _double_up(scratch: Scratch, nodes: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """Subtree sizes, totals, depths and roots; the number of rounds.
+def _double_up(scratch: Scratch, nodes: DataFrame, rows: int) -> tuple[DataFrame, str]:
+    """Subtree sizes, totals, depths and roots, and the name of their table.
 
     ``nodes``: id, parent (null for a root), bytes.  Nodes that still have a
     pointer at the end hang on a cycle.
@@ -72,12 +72,11 @@ def _double_up(scratch: Scratch, nodes: DataFrame, rows: int) -> tuple[DataFrame
         k += 1
         state = scratch.write(after, f"up{k}", open=open_nodes)
         before, left = left, scratch.rows[f"up{k}.open"]
-        if k > 1:
-            scratch.drop(f"up{k - 1}")
+        scratch.drop(f"up{k - 1}")
         # Depths have no gaps: while an acyclic node is left, each round ends one.
         if before == left:
             break
-    return state, k
+    return state, f"up{k}"
 
 
 def _cycle_roots(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -101,8 +100,7 @@ def _cycle_roots(scratch: Scratch, links: DataFrame) -> DataFrame:
         ahead = state.select(F.col("id").alias("target"), F.col("target").alias("next"), F.col("least").alias("then"))
         k += 1
         state = scratch.write(state.join(ahead, "target").select("id", F.col("next").alias("target"), F.least("least", "then").alias("least")), f"ring{k}")
-        if k > 1:
-            scratch.drop(f"ring{k - 1}")
+        scratch.drop(f"ring{k - 1}")
     rings = state.join(ends, "id", "left_semi").select(F.col("id").alias("target"), F.col("least").alias("cycle_id"))
     return state.join(rings, "target").select("id", "cycle_id")
 
@@ -162,7 +160,7 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False, separator: str = "/")
     linked = lookup_join(parents, ids, "parent", None if hot is None else hot.withColumnRenamed("target", "parent")).select("id", F.when(F.col("known"), F.col("parent")).alias("parent"), "name", "bytes")
     tops = own.where("parent is null or parent = 0").select("id", F.lit(None).cast("bigint").alias("parent"), "name", "bytes")
     linked = scratch.write(linked.unionByName(tops), "linked")
-    up, _ = _double_up(scratch, linked, rows)
+    up, up_name = _double_up(scratch, linked, rows)
     done = up.where("target is null").select("id", "size", "total", "depth", "root")
     lost = up.where("target is not null").select("id")
 
@@ -184,15 +182,16 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False, separator: str = "/")
         k += 1
         state = scratch.write(moved.drop("next", "further").unionByName(state.where("target is null")), f"down{k}", open=open_nodes)
         left = scratch.rows[f"down{k}.open"]
-        if k > 1:
-            scratch.drop(f"down{k - 1}")
+        scratch.drop(f"down{k - 1}")
     trees = state.select(
         "id", "parent", "root", F.col("depth").cast("int").alias("depth"), "pre", (F.col("size") - 1).alias("n_below"), F.col("total").alias("total_bytes"),
         F.lit(False).alias("on_cycle"), *(["path"] if with_paths else []),
     )
     if scratch.rows["linked"] == scratch.rows["placed"]:
+        scratch.drop("nodes", "linked", "placed", up_name)
         return trees
     gone = scratch.write(linked.join(lost, "id", "left_semi").select("id", F.col("parent").alias("target")), "lost")
+    scratch.drop("nodes", "linked", "placed", up_name)
     minus, none = F.lit(-1).cast("bigint"), F.lit(None)
     rings = _cycle_roots(scratch, gone).join(gone, "id").select(
         "id", F.col("target").alias("parent"), F.col("cycle_id").alias("root"), F.lit(-1).alias("depth"), minus.alias("pre"), minus.alias("n_below"),

@@ -65,8 +65,10 @@ class Scratch:
         self.rows |= {f"{name}.{k}": got[k] for k in more}
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self._remove(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            self._remove(f"{self.root}/{name}")
 
     def _remove(self, path: str) -> None:
         try:
