@@ -178,6 +178,7 @@ class History:
         self.buckets = 1 << max(5, min(16, (max(1, expected_rows) // BUCKET_ROWS).bit_length()))
         self.levels: list[tuple[int, str, DataFrame]] = []  # (suffixes, name, segment)
         self.made = 0
+        self.asked: list[str] = []
 
     def add(self, records: DataFrame) -> None:
         """Write the segment of a batch, then merge while two are of like size."""
@@ -197,13 +198,14 @@ class History:
 
     def check(self, records: DataFrame) -> DataFrame:
         """(entry_id, kind) of the records of a batch, already added, that match
-        an earlier position: ``exact`` or ``near``."""
+        an earlier position: ``exact`` or ``near``.  Write it before ``forget``."""
         asked = searches(records, self.buckets)
         # Lists of searches are cut by entry, so that a hot digest fills none.
         packed = asked.groupBy("kind", "bucket", F.shiftright("entry_id", 13)).applyInArrow(_pack_searches, _ASKED)
         self.made += 1
-        packed = self.scratch.write(packed, f"asked{self.made}", n=F.sum(F.octet_length("cover") / 4))
-        small = (self.scratch.rows[f"asked{self.made}.n"] or 0) <= BROADCAST_SEARCHES
+        self.asked.append(f"asked{self.made}")
+        packed = self.scratch.write(packed, self.asked[-1], n=F.sum(F.octet_length("cover") / 4))
+        small = (self.scratch.rows[f"{self.asked[-1]}.n"] or 0) <= BROADCAST_SEARCHES
         found = None
         for _, _, segment in self.levels:
             one = segment.join(F.broadcast(packed) if small else packed, ["kind", "bucket"]).mapInArrow(_look_up, _COVERED)
@@ -211,6 +213,15 @@ class History:
         best = found.groupBy("entry_id").agg(F.max("cover").alias("cover"))
         return best.select("entry_id", F.when(F.col("cover") >= EXACT_BYTES, "exact").otherwise("near").alias("kind"))
 
+    def forget(self) -> None:
+        """Remove the searches that were answered."""
+        self.scratch.drop(*self.asked)
+        self.asked.clear()
+
+    def close(self) -> None:
+        """Remove all segments."""
+        self.scratch.drop(*self.asked, *(name for _, name, _ in self.levels))
+
 
 def _delivered(incoming: DataFrame) -> list[list[int]]:
     """Batches in the order of delivery; those whose entries overlap go together."""
@@ -250,5 +261,8 @@ def duplicates_of_history(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
         batch = new.where(F.col("batch_id").isin(ids))
         history.add(batch)
         found = scratch.write(history.check(batch), f"found{k}")
+        history.forget()
         out = found if out is None else out.unionByName(found)
+    history.close()
+    scratch.drop("rows")
     return out if out is not None else spark.createDataFrame([], "entry_id bigint, kind string")

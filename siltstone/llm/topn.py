@@ -68,11 +68,13 @@ def top_n_per_group(rows: DataFrame, group: str, score: str, ident: str, n: int,
     intervals = ["lo_s", "hi_s", "lo_t", "hi_t"]
     state = bounds.where(F.col("n") > n).select("g", F.lit(n).cast("bigint").alias("need"), *intervals)
     left, undecided, held, k = scratch.rows["bounds.open"], scratch.rows["bounds.undecided"] or 0, scratch.rows["codes"], 0
-    within = codes
+    within, kept = codes, "none"
     while left:
         inside = _attach(within, state, left, hot).where("s between lo_s and hi_s and (lo_s < hi_s or t between lo_t and hi_t)")
         if k and undecided * 4 < held:  # the rest is small: keep only that
             within, held = scratch.write(inside.select("g", "s", "t"), f"within{k}"), undecided
+            scratch.drop(kept)
+            kept = f"within{k}"
             inside = _attach(within, state, left, hot)
         k += 1
         cut = _crossing(_counted(inside))
@@ -81,6 +83,7 @@ def top_n_per_group(rows: DataFrame, group: str, score: str, ident: str, n: int,
         left, undecided = scratch.rows[f"cut{k}.open"], scratch.rows[f"cut{k}.undecided"] or 0
         cutoffs.append(cut.where(~more).select("g", F.col("lo_s").alias("cut_s"), F.when(F.col("by_score"), F.lit(_MOST)).otherwise(F.col("hi_t")).alias("cut_t")))
         state = cut.where(more).select("g", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), *intervals)
+    scratch.drop(kept)
     every = reduce(DataFrame.unionByName, cutoffs)
     best = _attach(codes, every, scratch.rows["bounds"], hot).where("s > cut_s or (s = cut_s and t <= cut_t)")
     order = Window.partitionBy("g").orderBy(F.col("s").desc(), F.col("t"))  # n rows at most
