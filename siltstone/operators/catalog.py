@@ -226,21 +226,22 @@ def age_statistics(files: DataFrame, as_of: Column) -> DataFrame:
     """One row: files, bytes, oldest, newest, and average, median, 95th and 99th
     percentile of whole-hour ages since creation, by index of the sorted ages.
 
-    Ages are counted before they are ranked: the window runs over different
-    ages, not over files.
+    One pass counts files by age; all else, the ranking window too, runs over
+    the different ages and not over files.
     """
-    age = age_hours(F.col("created"), as_of).alias("age")
-    whole = files.agg(F.count(F.lit(1)).alias("total_files"), F.sum("size_logical").alias("total_size"), F.min("created").alias("oldest"), F.max("created").alias("newest"))
-    counts = files.where("created is not null").select(age).groupBy("age").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.select("age", "n", F.sum("n").over(Window.orderBy("age")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all_n"))
+    per = files.groupBy(age_hours(F.col("created"), as_of).alias("age")).agg(F.count(F.lit(1)).alias("n"), F.sum("size_logical").alias("bytes"), F.min("created").alias("first"), F.max("created").alias("last"))
+    known = F.col("age").isNotNull()
+    n = F.when(known, F.col("n"))
+    whole = Window.partitionBy(known)
+    ranked = per.select("*", F.sum(n).over(whole.orderBy("age")).alias("upto"), F.sum(n).over(whole).alias("all_n"))
 
     def at(p: float) -> Column:
-        return F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all_n") * p), F.col("all_n") - 1), F.col("age")))
+        return F.min(F.when(known & (F.col("upto") > F.least(F.floor(F.col("all_n") * p), F.col("all_n") - 1)), F.col("age")))
 
-    ages = ranked.agg(
-        F.call_function("div", F.sum(F.col("age") * F.col("n")), F.sum("n")).alias("average_hours"), at(0.5).alias("median_hours"), at(0.95).alias("p95_hours"), at(0.99).alias("p99_hours")
-    )
-    return whole.crossJoin(F.broadcast(ages))  # one row each
+    return ranked.agg(
+        F.sum("n").alias("total_files"), F.sum("bytes").alias("total_size"), F.min("first").alias("oldest"), F.max("last").alias("newest"),
+        F.call_function("div", F.sum(F.col("age") * n), F.sum(n)).alias("average_hours"), at(0.5).alias("median_hours"), at(0.95).alias("p95_hours"), at(0.99).alias("p99_hours"),
+    )
 
 
 def largest(files: DataFrame, n: int = 1000) -> DataFrame:

@@ -94,7 +94,10 @@ def _sign_hashes(spark, d) -> DataFrame:
 
 
 def hash_neighbours(spark, d):
-    return D.banded_pairs(_sign_hashes(spark, d), 12)
+    """Files whose first 64 bits of the perceptual hash differ in at most 5."""
+    files = C.current(table(spark, d, "file_entry"), ["perceptual_hash"]).where("perceptual_hash is not null and hex(perceptual_hash) <> repeat('0', 32)")
+    half = lambda at: F.conv(F.hex(F.substring("perceptual_hash", at, 4)), 16, 10).cast("bigint")
+    return D.banded_pairs(files.select(F.col("file_id").alias("id"), F.shiftleft(half(1), 32).bitwiseOR(half(5)).alias("hash")), 5)
 
 
 def lsh_bucket_sizes(spark, d):
@@ -203,9 +206,10 @@ g AS (SELECT doc_id, string_agg(printf('%02x', n::INTEGER), '' ORDER BY i) AS s
 SELECT d.doc_id AS file_id, CASE WHEN strlen(text) >= 50 THEN printf('%02x', (strlen(text) % 256)::INTEGER)
   || CASE WHEN strlen(text) <= 256 THEN '0' WHEN strlen(text) <= 1024 THEN '1' WHEN strlen(text) <= 4096 THEN '2' WHEN strlen(text) <= 16384 THEN '3' WHEN strlen(text) <= 65536 THEN '4' WHEN strlen(text) <= 262144 THEN '5' WHEN strlen(text) <= 1048576 THEN '6' ELSE '7' END
   || '0123' || s END AS tlsh FROM documents d JOIN g ON d.doc_id = g.doc_id""",
-    "hash_neighbours": f"""
-WITH h AS {_HASH}, c AS (SELECT h, min(id) AS id FROM h GROUP BY h)
-SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 12
+    "hash_neighbours": """
+WITH h AS (SELECT file_id AS id, CAST('0x' || hex(perceptual_hash)[1:16] AS UBIGINT) AS h FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1)
+  WHERE NOT deleted AND perceptual_hash IS NOT NULL AND hex(perceptual_hash) <> repeat('0', 32)), c AS (SELECT h, min(id) AS id FROM h GROUP BY h)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 5
 UNION ALL SELECT DISTINCT c.id, h.id, 0 FROM h JOIN c ON h.h = c.h AND h.id > c.id""",
     "lsh_bucket_sizes": f"SELECT (h >> 48)::BIGINT AS bucket, count(*) AS n FROM {_HASH} GROUP BY 1",
     "file_slack": "SELECT volume_id, file_id, (size_logical + 4095) // 4096 * 4096 AS allocated, (size_logical + 4095) // 4096 * 4096 - size_logical AS slack FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1) WHERE NOT deleted AND size_logical % 4096 > 0",

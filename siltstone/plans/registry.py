@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import analysis, catalog, content, forensic, general
+from siltstone.plans import analysis, catalog, content, forensic, general, metrics
 
-MODULES = (general, catalog, content, forensic, analysis)
+MODULES = (general, catalog, content, forensic, analysis, metrics)
 
 
 def queries() -> dict:
