@@ -11,7 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.fuzzy import tlsh
+from siltstone.functions.fuzzy import ssdeep
 from siltstone.operators.catalog import largest, residue_plan
 from siltstone.operators.dedupe import duplicate_groups, duplicate_members, duplicate_plan
 from siltstone.operators.layout import squarified
@@ -30,7 +30,7 @@ def _dedupe(spark: SparkSession, a) -> DataFrame:
 
 def _similar(spark: SparkSession, a) -> DataFrame:
     """Files of one fuzzy digest."""
-    files = spark.read.parquet(a.source).select("file_id", tlsh("content").alias("digest")).where("digest is not null")
+    files = spark.read.parquet(a.source).select("file_id", ssdeep("content").alias("digest")).where("digest is not null")
     several = files.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return files.join(several, "digest")
 
