@@ -37,6 +37,9 @@ SAME, OTHER, GAP = 1, -2, -2
 ALIGNED = 256
 
 _WORD = re.compile(r"[^\W_]+")
+_APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
+#: Combining marks that accents decompose to.
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _HITS = "doc_id bigint, at bigint, words array<int>, seeds array<bigint>"
 
 
@@ -46,12 +49,8 @@ def words(text: str) -> list[str]:
     An apostrophe inside a word joins its parts, whatever sign writes it.
     """
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)) if _marked(text) else text
-    return _WORD.findall(re.sub(r"(?<=\w)['’ʼ`´](?=\w)", "", text.casefold()))
-
-
-def _marked(text: str) -> bool:
-    return unicodedata.normalize("NFKD", text) != text or any(map(unicodedata.combining, text))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return _WORD.findall(_APOSTROPHE.sub("", text.casefold()))
 
 
 class Items:
