@@ -30,7 +30,9 @@ def test_commands(spark, scanned):
     assert [(r.size, r.n, r.savings) for r in groups] == [(1024, 2, 1024)]
     assert sorted(r.action for r in run(spark, scanned, "dedupe", "--action", "hardlink")) == ["hardlink", "keep"]
     assert len(run(spark, scanned, "similar")) == 2
-    assert [r.full_path.rsplit("/", 1)[1] for r in run(spark, scanned, "cleanup", "--as-of", "2100-01-01", "--days", "1")] == ["old.tmp"]
+    # The folder of the test may itself lie below /tmp, which makes the others cache files.
+    plan = run(spark, scanned, "cleanup", "--as-of", "2100-01-01", "--days", "1")
+    assert [r.full_path.rsplit("/", 1)[1] for r in plan if r.file_type == "temp"] == ["old.tmp"]
     assert sum(r.w * r.h for r in run(spark, scanned, "treemap", "--width", "2")) == pytest.approx(2)
     assert len(run(spark, scanned, "export")) == 4
     assert (scanned / "files" / "x" / "old.tmp").exists()
