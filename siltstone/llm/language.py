@@ -49,7 +49,7 @@ REFITS = 2
 _END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: What has no language: stamps, paths, digests, key=value fields, mail and web addresses.
-_NO_LANGUAGE = re.compile(r"\S*(?:[/\\=@]|\d|::)\S*")
+_NO_LANGUAGE = re.compile(r"[/\\=@\d]|::")
 _SEGMENTS = "doc_id bigint, segment_no int, start int, length int, words int, whole int, lang string, confidence double"
 
 
@@ -89,12 +89,13 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str], int]]:
         tokens = part.split()
         if not tokens:
             continue
-        plain = [t for t in tokens if not _NO_LANGUAGE.fullmatch(t)]
+        plain = [t for t in tokens if t.isalpha() or not _NO_LANGUAGE.search(t)]
         if len(plain) * 2 <= len(tokens):
             continue
         found = _LETTERS.findall(" ".join(plain).lower())
         if found:
-            yield start, len(part), found, sum(any(map(str.isalnum, t)) for t in tokens)
+            odd = [t for t in tokens if not t[0].isalnum()]
+            yield start, len(part), found, len(tokens) - len([t for t in odd if not any(map(str.isalnum, t))])
 
 
 def ngrams(word: str) -> np.ndarray:
