@@ -63,4 +63,4 @@ def histogram_percentiles(counts: DataFrame, width: float, percents: list[float]
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.select(*keys, "bucket", upto.alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all_n"))
     ranked = ranked.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
-    return ranked.where(F.col("upto") >= F.col("all_n") * F.col("percent") / 100).groupBy(*keys, "percent").agg((F.min("bucket") * width).alias("value"))
+    return ranked.where(F.col("upto") >= F.col("all_n") * F.col("percent") / 100).groupBy(*keys, "percent").agg((F.min("bucket").cast("bigint") * width).alias("value"))

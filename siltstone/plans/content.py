@@ -214,7 +214,7 @@ UNION ALL SELECT DISTINCT c.id, h.id, 0 FROM h JOIN c ON h.h = c.h AND h.id > c.
     "lsh_bucket_sizes": f"SELECT (h >> 48)::BIGINT AS bucket, count(*) AS n FROM {_HASH} GROUP BY 1",
     "file_slack": "SELECT volume_id, file_id, (size_logical + 4095) // 4096 * 4096 AS allocated, (size_logical + 4095) // 4096 * 4096 - size_logical AS slack FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1) WHERE NOT deleted AND size_logical % 4096 > 0",
     "keyword_counts": "SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(range(1, length(text)), lambda i: lower(text)[i:i+1] = 'ee'))::INTEGER AS n FROM documents) WHERE n > 0",
-    "carved_files": "SELECT id, \"offset\", size, extension FROM range(4) t(id), (VALUES (1000, 5005, 'jpg'), (10000, 8016, 'png'), (20000, 12009, 'pdf')) f(\"offset\", size, extension)",
+    "carved_files": "SELECT id, \"offset\", size, extension FROM range(4) t(id), (VALUES (1000::BIGINT, 5005::BIGINT, 'jpg'), (10000, 8016, 'png'), (20000, 12009, 'pdf')) f(\"offset\", size, extension)",
     "archive_entries": "SELECT doc_id AS file_id, 'zip' AS format, name, strlen(text) AS size, false AS is_directory, false AS encrypted FROM documents, (VALUES ('text.txt'), ('folder/copy.txt')) t(name)",
     "archive_contents": "SELECT doc_id AS file_id, sha256(text) AS digest FROM documents",
 }
