@@ -4,9 +4,9 @@ Words are compared without case, accents and punctuation.  Seeds are the item's
 word n-grams; of every passage of PASSAGE words the two rarest disjoint ones
 are kept, rarity counted over all documents, so that one changed word leaves
 at least one seed and worn phrases seed little.  Where a seed joins a document
-to an item, a Smith-Waterman alignment of the words around it decides: some
-PASSAGE consecutive item words, or the whole of a shorter item, must be covered
-with at most one word in ten changed.
+to an item, all local alignments of the words around it decide: some PASSAGE
+or more consecutive item words, or the whole of a shorter item, must be covered
+with at most one word in ten changed, wherever in them the change lies.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ PASSAGE = 12
 CHANGED = 0.1
 #: Items searched for at a time; larger sets go in blocks.
 BLOCK_ITEMS = 5_000
-#: Scores of the alignment: equal words, different words, a word left out.
-SAME, OTHER, GAP = 1, -2, -2
 #: Pairs aligned at once.
 ALIGNED = 256
 
@@ -137,54 +135,39 @@ def _passages(block: Items, seeds: np.ndarray):
 
 
 def _align(items: list[np.ndarray], stretches: list[np.ndarray]) -> list[bool]:
-    """Whether the best local alignment of each pair holds a passage.
-
-    All pairs advance together along the diagonals of their score tables.
+    """Whether some alignment of each pair, wherever it lies, holds a passage.
+
+    A long passage with few enough changes can be cut in two of which one has
+    few enough too, so those of PASSAGE to twice PASSAGE words, and the few
+    changes that these allow, decide.  From every place of the score table, and
+    for each number of changes, the most item words that can be covered onward
+    are known from the row below; equal words are always paired.  All pairs and
+    places of a row advance together.
     """
     n, rows, cols = len(items), max(map(len, items)), max(map(len, stretches))
-    a, b = np.full((n, rows), -2, dtype=np.int32), np.full((n, cols), -3, dtype=np.int32)
+    # The last column is past the end of every stretch.
+    a, b = np.full((n, rows), -2, dtype=np.int32), np.full((n, cols + 1), -3, dtype=np.int32)
     for k, (x, y) in enumerate(zip(items, stretches, strict=True)):
         a[k, : len(x)], b[k, : len(y)] = x, y
-    score = np.zeros((n, rows + 1, cols + 1), dtype=np.int16)
-    for d in range(2, rows + cols + 1):
-        i = np.arange(max(1, d - cols), min(rows, d - 1) + 1)
-        j = d - i
-        step = np.where(a[:, i - 1] == b[:, j - 1], SAME, OTHER).astype(np.int16)
-        best = np.maximum(score[:, i - 1, j - 1] + step, np.maximum(score[:, i - 1, j], score[:, i, j - 1]) + GAP)
-        score[:, i, j] = np.maximum(best, 0)
-    out = []
-    for k in range(n):
-        need = min(PASSAGE, len(items[k]))
-        out.append(_holds(score[k], a[k], b[k], need))
-    return out
-
-
-def _holds(score: np.ndarray, a: np.ndarray, b: np.ndarray, need: int) -> bool:
-    """Trace the best alignment back and look for ``need`` item words in it with
-    few enough changes."""
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    ops: list[int] = []  # from the end: 0 equal, 1 changed or left-out item word, 2 word put in
-    while i > 0 and j > 0 and score[i, j] > 0:
-        same = a[i - 1] == b[j - 1]
-        if score[i, j] == score[i - 1, j - 1] + (SAME if same else OTHER):
-            ops.append(0 if same else 1)
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + GAP:
-            ops.append(1)
-            i -= 1
-        else:
-            ops.append(2)
-            j -= 1
-    path = np.array(ops, dtype=np.int8)
-    covered = np.concatenate([[0], np.cumsum(path != 2)])
-    if covered[-1] < need:
-        return False
-    wrong = np.concatenate([[0], np.cumsum(path != 0)])
-    for end in range(1, len(path) + 1):
-        starts = np.flatnonzero(covered[end] - covered[:end] >= need)
-        if len(starts) and ((wrong[end] - wrong[starts]) <= np.floor((covered[end] - covered[starts]) * CHANGED + 1e-9)).any():
-            return True
-    return False
+    length = np.array([len(x) for x in items])
+    need = np.minimum(PASSAGE, length)
+    changes = int((2 * PASSAGE - 1) * CHANGED + 1e-9)
+    least = [np.maximum(need, int(np.ceil(e / CHANGED - 1e-9)))[:, None] for e in range(changes + 1)]
+    onward = lambda reach: np.concatenate([reach[:, 1:], reach[:, -1:]], axis=1)
+    below = [np.zeros((n, cols + 1), dtype=np.int32) for _ in range(changes + 1)]
+    found = np.zeros(n, dtype=bool)
+    for i in range(rows - 1, -1, -1):
+        same, inside = a[:, i, None] == b, (i < length)[:, None]
+        here: list[np.ndarray] = []
+        for e in range(changes + 1):
+            reach = np.zeros_like(below[e])
+            if e:  # the item word changed, left out, or a word put in before it
+                reach = np.maximum(np.maximum(onward(below[e - 1]), below[e - 1]) + 1, onward(here[e - 1]))
+            reach = np.where(same, onward(below[e]) + 1, reach) * inside
+            found |= (reach >= least[e]).any(axis=1)
+            here.append(reach)
+        below = here
+    return found.tolist()
 
 
 def _judge(block: Items):

@@ -55,6 +55,24 @@ def test_items_in_blocks(spark, monkeypatch):
     assert run(spark, [(1, ITEM), (2, OTHER)]) == {(1, 1), (2, 2)}
 
 
+def test_change_at_any_word_of_a_passage(spark):
+    rng, w = random.Random(3), OTHER.split()
+    docs = {}
+    for n in (12, 13, 14):
+        for k in range(n):
+            docs[n * 100 + k] = " ".join([filler(rng, 9), *w[3 : 3 + k], "zzz", *w[4 + k : 3 + n], filler(rng, 9)])
+    two = {k: " ".join([filler(rng, 9), *(x if at not in spots else "zzz" for at, x in enumerate(w[:n])), filler(rng, 9)]) for k, n, spots in ((1, 20, (8, 11)), (2, 20, (7, 8, 11)), (3, 12, (1, 7)), (4, 14, (4, 9)))}
+    assert run(spark, [*docs.items(), *two.items()]) == {(2, k) for k in (*docs, 1)}
+
+
+def test_passage_beside_a_longer_edited_stretch(spark):
+    rng = random.Random(4)
+    w = filler(rng, 80).split()
+    edited = " ".join("zzz" if k % 5 == 4 else x for k, x in enumerate(w[20:]))
+    docs = [(1, " ".join([edited, filler(rng, 30), *w[:12], filler(rng, 9)])), (2, edited)]
+    assert run(spark, docs, [(1, " ".join(w))]) == {(1, 1)}
+
+
 @pytest.mark.parametrize(("text", "want"), [("Don’t STOP, naïve—café!", ["dont", "stop", "naive", "cafe"]), ("й ё", ["и", "е"]), ("a_b  c\n\td", ["a", "b", "c", "d"]), ("", [])])
 def test_words(text, want):
     assert words(text) == want
