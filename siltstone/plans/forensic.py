@@ -85,8 +85,7 @@ def log_parsed(spark, d):
 
 
 def log_written(spark, d):
-    logs = _event_logs(spark, d).where("event_id < 1000")
-    return L.formatted(logs, "syslog")
+    return L.formatted(_event_logs(spark, d), "syslog")
 
 
 def _packets(spark, d) -> DataFrame:

@@ -9,6 +9,7 @@ from siltstone.functions import modes, texts
 from siltstone.operators import logs as L
 from siltstone.operators import network as N
 from siltstone.operators import security as S
+from siltstone.plans import forensic
 from siltstone.sources.files import read_pcap, read_trash, scan
 
 SYSLOG = [
@@ -114,3 +115,10 @@ def test_rules_and_severity(spark):
     rules = spark.createDataFrame([("v", "virus", 9, True), ("m", "malware", 8, True), ("t", "trojan", 7, True), ("x", "clean", 1, False)], "rule string, pattern string, severity int, enabled boolean")
     assert {(r.id, r.rule, r.offset) for r in S.scan_rules(files, rules, "id", "text").collect()} == {(1, "m", 6), (2, "v", 2), (3, "t", 0)}
     assert [r[0] for r in spark.range(13).select(S.rule_severity(F.col("id").cast("int"))).collect()][1::2] == ["Low", "Moderate", "High", "Very high", "Critical", "Critical"]
+
+
+def test_every_event_is_written(spark, tmp_path):
+    rows = [(i, i % 7, "view", "{}") for i in (0, 999, 1000, 123_456)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.timestamp_seconds("event_id"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert forensic.log_written(spark, str(tmp_path)).count() == 4
