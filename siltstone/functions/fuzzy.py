@@ -141,6 +141,32 @@ def phash(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(pixels, width, height, strict=True)], dtype="Int64")
 
 
+def bytes_phash_of(data: bytes, size: int = 32) -> int | None:
+    """``phash_of`` of bytes as a grey image ``size`` wide, the last row padded with zeros.
+
+    Resizing an image reads single points of it; so that every byte counts, an
+    image of more rows is first brought to ``size`` rows by their means.
+    """
+    if not data:
+        return None
+    rows = -(-len(data) // size)
+    image = np.zeros(rows * size, dtype=np.uint8)
+    image[: len(data)] = np.frombuffer(data, dtype=np.uint8)
+    image = image.reshape(rows, size)
+    if rows > size:
+        above = np.concatenate([np.zeros((1, size)), np.cumsum(image, axis=0, dtype=np.int64)])
+        at = np.arange(size + 1) * rows / size
+        whole = np.minimum(at.astype(int), rows - 1)
+        until = above[whole] + (at - whole)[:, None] * image[whole]
+        image = np.diff(until, axis=0) * size / rows
+    return phash_of(image, size)
+
+
+@F.pandas_udf(T.LongType())
+def bytes_phash(content: pd.Series) -> pd.Series:
+    return pd.Series([bytes_phash_of(c) for c in content], dtype="Int64")
+
+
 #: Odd multipliers of the two hash functions of a set sketch.
 MULTIPLIERS = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F)
 

@@ -106,8 +106,8 @@ def lsh_bucket_sizes(spark, d):
 
 
 def perceptual_hashes(spark, d):
-    """Perceptual hash of the first 1024 bytes of each longer text, taken as a 32 x 32 image."""
-    return _contents(spark, d).where(F.octet_length("content") >= 1024).select("file_id", Z.phash(F.substring("content", 1, 1024), F.lit(32), F.lit(32)).alias("hash"))
+    """Perceptual hash of each whole text that isn't empty, taken as an image 32 bytes wide."""
+    return _contents(spark, d).where(F.octet_length("content") > 0).select("file_id", Z.bytes_phash("content").alias("hash"))
 
 
 def content_chunks(spark, d):

@@ -19,6 +19,7 @@ from siltstone.functions import fuzzy as Z
 from siltstone.functions import texts
 from siltstone.operators import dedupe as D
 from siltstone.operators import extract as E
+from siltstone.plans import content as P
 
 
 def frame(spark, datas):
@@ -200,3 +201,19 @@ def test_banded_pairs_lose_nothing(spark):
         heads.setdefault(h, i)
     want = {(min(a, b), max(a, b)): (x ^ y).bit_count() for x, a in heads.items() for y, b in heads.items() if a < b and (x ^ y).bit_count() <= 5} | {(heads[h], i): 0 for i, h in rows if heads[h] != i}
     assert got == want
+
+
+def test_perceptual_hashes_read_whole_texts(spark, tmp_path):
+    rng = random.Random(6)
+    texts_of = lambda n: "".join(rng.choice("abcdefghij XYZ,.0123") for _ in range(n))
+    head, square = texts_of(1024), texts_of(1024)
+    body = texts_of(100_000)
+    docs = [(1, head + body), (2, head + "".join(sorted(body))), (3, "short"), (4, ""), (5, None), (6, square)]
+    spark.createDataFrame([(k, 1, t) for k, t in docs], "doc_id long, volume_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.file_id: r.hash for r in P.perceptual_hashes(spark, str(tmp_path)).collect()}
+    assert got.keys() == {1, 2, 3, 6} and None not in got.values() and got[1] != got[2]
+    assert got[6] == Z.phash_of(np.frombuffer(square.encode(), dtype=np.uint8).reshape(32, 32))
+    # Each row between the points that resizing reads counts as well.
+    rows = np.full((320, 32), 100, dtype=np.uint8)
+    rows[[5, 6, 105, 206], 7:19] = 255
+    assert Z.bytes_phash_of(rows.tobytes()) != Z.bytes_phash_of(np.full((320, 32), 100, dtype=np.uint8).tobytes())
