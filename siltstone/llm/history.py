@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions.content import digest
 from siltstone.runtime import Scratch
 
 #: Smallest file that takes part.
@@ -42,20 +43,6 @@ _ASKED = "kind string, bucket int, entries binary, low binary, high binary, cove
 _COVERED = "entry_id bigint, cover int"
 
 
-def digest(text: Column, size: int) -> Column:
-    """The bytes of a written digest of ``size`` bytes, null if it is none.
-
-    Hexadecimal in any case, with a name in front or separators inside, or base64.
-    """
-    bare = F.regexp_replace(F.trim(text), r"^(?i:sha-?256[:=]|head[_-]?tail[:=]|0x)\s*", "")
-    plain = F.regexp_replace(bare, r"[:\s-]", "")
-    b64 = F.regexp_replace(F.translate(bare, "-_", "+/"), "=+$", "")
-    letters = -(-size * 8 // 6)
-    return F.when(plain.rlike(f"^[0-9A-Fa-f]{{{2 * size}}}$"), F.unhex(plain)).when(
-        b64.rlike(f"^[A-Za-z0-9+/]{{{letters}}}$"), F.unbase64(F.rpad(b64, -(-letters // 4) * 4, "="))
-    )
-
-
 def _bytes8(n: Column) -> Column:
     return F.unhex(F.lpad(F.hex(n), 16, "0"))
 

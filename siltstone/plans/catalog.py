@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import modes, paths, texts
+from siltstone.functions import content, modes, paths, texts
 from siltstone.operators import catalog as C
 from siltstone.operators import stats as S
 from siltstone.runtime import table
@@ -74,10 +74,10 @@ def bloom_false_positive_rate(spark, d):
 
 
 def bloom_filter_members(spark, d):
-    """Incoming digests that a filter over the catalog does not rule out, confirmed by a join."""
+    """Incoming digests, however written, that a filter over the catalog does not rule out, confirmed by a join."""
     known = table(spark, d, "file_entry").where("sha256 is not null").select(F.lower(F.hex("sha256")).alias("digest")).distinct()
     bits, hashes = C.bloom_size(1_000_000, 0.01)
-    asked = table(spark, d, "incoming_entry").where("length(sha256) = 64").select(F.lower("sha256").alias("digest"))
+    asked = table(spark, d, "incoming_entry").select(F.lower(F.hex(content.digest(F.col("sha256"), 32))).alias("digest")).where("digest is not null")
     maybe = C.bloom_might_contain(asked, ["digest"], C.bloom_build(known, ["digest"], bits, hashes), bits, hashes)
     return maybe.join(known, "digest", "left_semi")
 

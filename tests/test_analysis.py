@@ -1,5 +1,7 @@
 """Statistics, catalog, clusters, layouts, feeds and sinks on small inputs."""
 
+import base64
+import hashlib
 import random
 
 import numpy as np
@@ -10,6 +12,7 @@ from siltstone.operators import catalog as C
 from siltstone.operators import cluster as K
 from siltstone.operators import layout as Y
 from siltstone.operators import stats as S
+from siltstone.plans import catalog as P
 from siltstone.runtime import lookup_join
 from siltstone.sources import sinks
 from siltstone.streaming import changes
@@ -171,3 +174,12 @@ def test_late_rows_of_a_stream_match_the_batch(spark, tmp_path):
     stream = changes.read_changes(spark, str(tmp_path / "e"), batch.schema)
     got = changes.run_to_end(changes.event_windows(stream, "ts", "1 hour", "2 hours"), "t")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, changes.event_windows(batch, "ts", "1 hour", "2 hours").collect()))
+
+
+def test_digests_in_every_notation_are_asked(spark, tmp_path):
+    digests = [hashlib.sha256(bytes([k])).digest() for k in range(6)]
+    hexed = [d.hex() for d in digests]
+    written = [hexed[0].upper(), base64.b64encode(digests[1]).decode(), "sha256:" + hexed[2], ":".join(hexed[3][k : k + 2] for k in range(0, 64, 2)), hexed[5], "none", None]
+    spark.createDataFrame([(bytearray(d),) for d in digests[:5]] + [(None,)], "sha256 binary").write.parquet(str(tmp_path / "file_entry.parquet"))
+    spark.createDataFrame([(w,) for w in written], "sha256 string").write.parquet(str(tmp_path / "incoming_entry.parquet"))
+    assert sorted(r.digest for r in P.bloom_filter_members(spark, str(tmp_path)).collect()) == sorted(hexed[:4])
