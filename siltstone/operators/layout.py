@@ -7,16 +7,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Items of one parent that get a rectangle of their own; the rest share one.
-SHOWN = 1000
+#: If set, the items of one parent that get a rectangle of their own, for
+#: display; the rest share one.
+SHOWN: int | None = None
 
 
 def shown_items(items: DataFrame) -> DataFrame:
-    """(parent, id, size, rank_no): the SHOWN largest items of each parent, and one
-    of id -1 with the size of all others.  Empty items are left out."""
+    """(parent, id, size, rank_no): all items of each parent, largest first; with
+    SHOWN only so many, and one of id -1 with the size of all others.  Empty items
+    are left out."""
     live = items.where("size > 0").select("parent", "id", "size")
     order = Window.partitionBy("parent").orderBy(F.col("size").desc(), "id")
-    top = live.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= SHOWN)
+    top = live.withColumn("rank_no", F.row_number().over(order))
+    if SHOWN is None:
+        return top
+    top = top.where(F.col("rank_no") <= SHOWN)
     whole = live.groupBy("parent").agg(F.sum("size").alias("whole"), F.count(F.lit(1)).alias("n")).where(F.col("n") > SHOWN)
     kept = top.groupBy("parent").agg(F.sum("size").alias("kept"))
     rest = whole.join(kept, "parent").select("parent", F.lit(-1).cast("bigint").alias("id"), (F.col("whole") - F.col("kept")).alias("size"), F.lit(SHOWN + 1).alias("rank_no"))

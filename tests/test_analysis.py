@@ -183,3 +183,11 @@ def test_digests_in_every_notation_are_asked(spark, tmp_path):
     spark.createDataFrame([(bytearray(d),) for d in digests[:5]] + [(None,)], "sha256 binary").write.parquet(str(tmp_path / "file_entry.parquet"))
     spark.createDataFrame([(w,) for w in written], "sha256 string").write.parquet(str(tmp_path / "incoming_entry.parquet"))
     assert sorted(r.digest for r in P.bloom_filter_members(spark, str(tmp_path)).collect()) == sorted(hexed[:4])
+
+
+def test_every_item_of_a_large_parent_is_laid_out(spark):
+    items = spark.range(1, 2501).select(F.lit(1).cast("bigint").alias("parent"), "id", (F.col("id") % 97 + 1).alias("size"))
+    for layout in (Y.strips, Y.squarified, Y.shelves, Y.spiral):
+        assert sorted(r.id for r in layout(items).select("id").collect()) == list(range(1, 2501))
+    whole = sum(k % 97 + 1 for k in range(1, 2501))
+    assert all(r.w * r.h == pytest.approx((r.id % 97 + 1) / whole) for r in Y.squarified(items).collect())
