@@ -64,14 +64,32 @@ def similarities(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return np.where(a["full_path"].to_numpy()[:, None] == b["full_path"].to_numpy()[None, :], 1.0, mean)
 
 
+def _in_blocks(rows: DataFrame, asked: DataFrame, spread: list[str], search) -> DataFrame:
+    """The union of ``search(rows, block)`` for blocks, by hash of the columns
+    ``spread``, of at most about BROADCAST_ROWS // 10 rows of ``asked``."""
+    most = BROADCAST_ROWS // 10
+    block = asked.limit(most + 1).toPandas()
+    if len(block) <= most:
+        return search(rows, block)
+    scratch = Scratch(asked.sparkSession, "blocks")
+    rows, asked = scratch.write(rows, "rows"), scratch.write(asked, "asked")
+    blocks = -(-scratch.rows["asked"] * 2 // most)  # half full, as hashes spread unevenly
+    out = None
+    for k in range(blocks):
+        found = search(rows, asked.where(F.pmod(F.xxhash64(*spread), F.lit(blocks)) == k).toPandas())
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def similar_files(features: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """(target_id, file_id, similarity) of a stated, counted set of targets, which
-    every task compares with its rows in blocks of 256."""
+    """(target_id, file_id, similarity) of a stated set of targets, taken in blocks,
+    which every task compares with its rows 256 at a time."""
     columns = ["file_id", "full_path", "size", "type", "modified_s", "features"]
-    asked = targets.select(*columns).limit(BROADCAST_ROWS // 10 + 1).toPandas()
-    if len(asked) > BROADCAST_ROWS // 10:
-        raise ValueError("too many targets at once: ask in blocks")
+    search = lambda rows, asked: _similar(rows, asked, threshold)
+    return _in_blocks(features.select(*columns), targets.select(*columns), ["file_id", "full_path", "size", "modified_s"], search)
+
 
+def _similar(rows: DataFrame, asked: pd.DataFrame, threshold: float) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(asked) if len(batch) else 0, 256):
@@ -80,16 +98,20 @@ def similar_files(features: DataFrame, targets: DataFrame, threshold: float) ->
                 i, j = np.nonzero(found >= threshold)
                 yield pd.DataFrame({"target_id": some["file_id"].to_numpy()[i], "file_id": batch["file_id"].to_numpy()[j], "similarity": found[i, j]})
 
-    return features.select(*columns).mapInPandas(compare, "target_id long, file_id long, similarity double")
+    return rows.mapInPandas(compare, "target_id long, file_id long, similarity double")
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, id, score): the k highest cosines of each of a stated set of
-    queries, itself left out, ties by id.  Every task scores its rows against
-    all queries by one matrix product and keeps its k best."""
-    asked = queries.select(ident, column).limit(BROADCAST_ROWS // 10 + 1).toPandas()
-    if len(asked) > BROADCAST_ROWS // 10:
-        raise ValueError("too many queries at once: ask in blocks")
+    queries, itself left out, ties by id.  Queries are taken in blocks; every task
+    scores its rows against a block by one matrix product and keeps its k best."""
+    search = lambda rows, asked: _nearest(rows, asked, k, ident, column)
+    part = _in_blocks(vectors.select(ident, column), queries.select(ident, column), [ident], search)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return part.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k)
+
+
+def _nearest(rows: DataFrame, asked: pd.DataFrame, k: int, ident: str, column: str) -> DataFrame:
     names = asked[ident].to_numpy()
     q = np.stack(asked[column].map(np.asarray)).astype(np.float64) if len(asked) else np.zeros((0, 1))
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
@@ -104,14 +126,12 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, ident: str =
             ids = batch[ident].to_numpy()
             s[names[:, None] == ids[None, :]] = -2
             order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(q)), order.shape[1])
+            which = np.repeat(np.arange(len(q)), order.shape[1])
             at = order.ravel()
-            keep = s[rows, at] > -2
-            yield pd.DataFrame({"query_id": names[rows][keep], "id": ids[at][keep], "score": s[rows, at][keep]})
+            keep = s[which, at] > -2
+            yield pd.DataFrame({"query_id": names[which][keep], "id": ids[at][keep], "score": s[which, at][keep]})
 
-    part = vectors.select(ident, column).mapInPandas(score, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return part.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k)
+    return rows.mapInPandas(score, "query_id long, id long, score double")
 
 
 def kmeans(rows: DataFrame, k: int, column: str = "features", seed: int = 42, iterations: int = 100) -> DataFrame:

@@ -191,3 +191,12 @@ def test_every_item_of_a_large_parent_is_laid_out(spark):
         assert sorted(r.id for r in layout(items).select("id").collect()) == list(range(1, 2501))
     whole = sum(k % 97 + 1 for k in range(1, 2501))
     assert all(r.w * r.h == pytest.approx((r.id % 97 + 1) / whole) for r in Y.squarified(items).collect())
+
+
+def test_more_targets_than_a_block_holds(spark, monkeypatch):
+    f = spark.range(30).select(F.lit(1).cast("bigint").alias("volume_id"), F.col("id").alias("file_id"), F.concat(F.lit("/"), "id").alias("full_path"), (F.col("id") + 1).alias("size"), F.lit("txt").alias("type"), F.lit(5).cast("bigint").alias("modified_s"), F.array(F.lit(1.0), F.col("id") / 9).alias("features"))
+    v = f.select(F.col("file_id").alias("vec_id"), F.col("features").alias("embedding"))
+    found = lambda: (sorted(map(tuple, K.similar_files(f, f.where("file_id < 25"), 0.95).collect())), sorted(map(tuple, K.nearest_vectors(v, v.where("vec_id < 25"), 3).collect())))
+    want = found()
+    monkeypatch.setattr(K, "BROADCAST_ROWS", 70)
+    assert found() == want and len(want[1]) == 75
