@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.fuzzy import ssdeep
-from siltstone.operators.catalog import largest, residue_plan
+from siltstone.operators.catalog import residue_plan
 from siltstone.operators.dedupe import duplicate_groups, duplicate_members, duplicate_plan
 from siltstone.operators.layout import squarified
 from siltstone.sources.files import scan
@@ -24,7 +24,7 @@ def _scan(spark: SparkSession, a) -> DataFrame:
 
 
 def _dedupe(spark: SparkSession, a) -> DataFrame:
-    members = duplicate_members(spark.read.parquet(a.source), F.col("content"), min_size=max(1, a.min_size), full=a.full)
+    members = duplicate_members(spark.read.parquet(a.source), F.col("content"), min_size=max(1, a.min_size))
     return duplicate_groups(members) if a.action == "report" else duplicate_plan(members, a.action)
 
 
@@ -41,8 +41,7 @@ def _cleanup(spark: SparkSession, a) -> DataFrame:
 
 
 def _treemap(spark: SparkSession, a) -> DataFrame:
-    files = largest(spark.read.parquet(a.source), 1000)
-    return squarified(files.select(F.lit(0).cast("bigint").alias("parent"), F.col("file_id").alias("id"), F.col("size_logical").alias("size")), a.width, a.height)
+    return squarified(spark.read.parquet(a.source).select(F.lit(0).cast("bigint").alias("parent"), F.col("file_id").alias("id"), F.col("size_logical").alias("size")), a.width, a.height)
 
 
 def _export(spark: SparkSession, a) -> DataFrame:
@@ -62,7 +61,6 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--extension", action="append", help="scan: take in only these")
     parser.add_argument("--exclude", action="append", help="scan: names, cleanup: paths that contain this stay out")
     parser.add_argument("--min-size", type=int, default=0)
-    parser.add_argument("--full", action="store_true", help="dedupe: always compare whole contents")
     parser.add_argument("--action", choices=("report", "simulate", "hardlink", "recycle", "delete"), default="report", help="dedupe: the action that the plan names")
     parser.add_argument("--days", type=int, default=0, help="cleanup: least age")
     parser.add_argument("--as-of", help="cleanup: the time that ages are counted to", default="2025-01-01")

@@ -35,7 +35,8 @@ def assign_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> Dat
     key = ["volume_id", "full_path"]
     fresh, start = keys.select(*key).where("volume_id is not null and full_path is not null").distinct(), 0
     if dictionary is not None:
-        start = (dictionary.agg(F.max("ordinal")).first()[0] or -1) + 1
+        highest = dictionary.agg(F.max("ordinal")).first()[0]
+        start = 0 if highest is None else highest + 1
         fresh = fresh.join(dictionary, key, "left_anti")
     scratch = Scratch(spark, "ordinals")
     fresh = scratch.write(fresh, "fresh")

@@ -33,16 +33,22 @@ MONTHS = {
 LONG_MONTHS = {"juin": 6, "juil": 7}
 #: Locales that write numeric dates month first.
 MONTH_FIRST = ("en-US", "en-PH", "fil-PH")
-#: Years covered by the offset intervals.
-YEARS = (1900, 2100)
+#: Years covered by the offset intervals; zones began later.  Wall times before them have the zone's
+#: first offset, those after them that of the year of FOLDED with the same calendar.
+YEARS = (1800, 2100)
+FOLDED = (2072, 2099)
 #: Intervals are cut at multiples of this, about 407 days, to join by equality.
 SLOT_US = 1 << 45
+#: Slot of all times before the first interval.
+EARLIER = -(1 << 40)
 
 _INTERVALS = "zone string, slot long, lo long, hi long, offset_us long"
-_ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d{1,9}))?)?\s*(Z|[+-]\d{2}:?\d{2}|[A-Z]{2,5}(?:[+-]\d{1,2}(?::?\d{2})?)?|\[[^\]]+\])?$"
+_ZONE = r"Z|[+-]\d{2}:?\d{2}(?:\[[^\]]+\])?|[A-Z]{2,5}(?:[+-]\d{1,2}(?::?\d{2})?)?|\[[^\]]+\]|[A-Z]\p{L}+(?:/[\w+-]+)+"
+_ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})[T ](\d{1,2})[:.](\d{2})(?:[:.](\d{2})(?:[.,](\d{1,9}))?)?\s*(" + _ZONE + r")?$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})[T ]?(\d{2})(\d{2})(\d{2})(Z|[+-]\d{2}:?\d{2})?$"
 _NUMERIC = r"^(\d{1,2})[/.](\d{1,2})[/.](\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?([AaPp])\.?[Mm]\.?)?$"
-_WORDED = r"^(?:\p{L}+\.?, )?(\d{1,2})[ .-]+(\p{L}+)\.?[ -](\d{4}),? (\d{1,2}):(\d{2})(?::(\d{2}))?(?: ?(Z|[+-]\d{2}:?\d{2}|[A-Z]{2,5}))?$"
+_WORDED = r"^(?:\p{L}+\.?, )?(\d{1,2})[ ./-]+(\p{L}+)\.?[ /-](\d{4})(?:,? |:)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?: ?(Z|[+-]\d{2}:?\d{2}|[A-Z]{2,5}))?$"
+_YEAR_LAST = r"^\p{L}{3} (\p{L}{3}) (\d{1,2}) (\d{1,2}):(\d{2}):(\d{2})(?: ([A-Z]{2,5}))? (\d{4})$"
 _COUNT = r"^(\d{9,10}|\d{13}|\d{16,19})$"
 _FRACTION = r"^(\d{9,10})\.(\d{1,9})$"
 _HEX = r"^0[xX]([0-9A-Fa-f]{12,16})$"
@@ -103,9 +109,12 @@ def parse_stamp(text: Column, locale: Column) -> Column:
         .otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
     )
     names = {name: n for n, row in MONTHS.items() for name in row.split()} | LONG_MONTHS
-    spelled = F.lower(F.regexp_extract(s, _WORDED, 2))
     months = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    month = F.coalesce(months[F.substring(spelled, 1, 4)], months[F.substring(spelled, 1, 3)])
+
+    def month(pattern: str, group: int) -> Column:
+        spelled = F.lower(F.regexp_extract(s, pattern, group))
+        return F.coalesce(months[F.substring(spelled, 1, 4)], months[F.substring(spelled, 1, 3)])
+
     none = F.lit(None).cast("string")
 
     def at(pattern: str, *groups: int) -> list[Column]:
@@ -124,13 +133,14 @@ def parse_stamp(text: Column, locale: Column) -> Column:
             s.rlike(_NUMERIC),
             _parsed(_local(_int(s, _NUMERIC, 3), F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a), hour, *at(_NUMERIC, 5, 6)), none),
         )
-        .when(s.rlike(_WORDED), _parsed(_local(_int(s, _WORDED, 3), month, *at(_WORDED, 1, 4, 5, 6)), cut(_WORDED, 7)))
+        .when(s.rlike(_WORDED), _parsed(_local(_int(s, _WORDED, 3), month(_WORDED, 2), *at(_WORDED, 1, 4, 5, 6)) + _micros(cut(_WORDED, 7)), cut(_WORDED, 8)))
+        .when(s.rlike(_YEAR_LAST), _parsed(_local(_int(s, _YEAR_LAST, 7), month(_YEAR_LAST, 1), *at(_YEAR_LAST, 2, 3, 4, 5)), cut(_YEAR_LAST, 6)))
     )
 
 
 def zone_offset_us(zone_text: Column) -> Column:
     """Offset in microseconds that a stamp's own zone text states, else null."""
-    pattern = r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?$"
+    pattern = r"^(?:UTC|GMT)?([+-])(\d{1,2}):?(\d{2})?(?:\[.*\])?$"
     sign = F.when(F.regexp_extract(zone_text, pattern, 1) == "-", -1).otherwise(1)
     minutes = _int(zone_text, pattern, 2) * 60 + F.coalesce(_int(zone_text, pattern, 3), F.lit(0))
     named = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair))
@@ -166,35 +176,62 @@ def _zone_runs(name: str) -> list[tuple[int, int, int]]:
     return [(a * 1_000_000, b * 1_000_000, c * 1_000_000) for a, b, c in runs]
 
 
+def _folded(local_us: Column) -> Column:
+    """``local_us``, those after YEARS moved to the year of FOLDED that has the same
+    weekdays and leap day.  Zones keep their rules of that time for ever, as far
+    as anyone knows, so the clock changes at the same places of both years."""
+    alike = {(dt.date(y, 1, 1).isoweekday() % 7 + 1, y % 4 == 0): dt.date(y, 1, 1).toordinal() for y in range(*FOLDED)}
+    alike[dt.date(FOLDED[1], 1, 1).isoweekday() % 7 + 1, False] = dt.date(FOLDED[1], 1, 1).toordinal()
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(local_us / 86_400_000_000).cast("int"))
+    first = F.trunc(day, "year")
+    leap = F.datediff(F.add_months(first, 12), first) == 366
+    places = F.create_map(*(F.lit(x) for (weekday, long), at in alike.items() for x in (weekday + (10 if long else 0), at - dt.date(1970, 1, 1).toordinal())))
+    days = F.datediff(first, F.lit("1970-01-01").cast("date")) - places[F.dayofweek(first) + F.when(leap, 10).otherwise(0)]
+    after = _year_us(YEARS[1])
+    return F.when(local_us >= after, local_us - days.cast("bigint") * 86_400_000_000).otherwise(local_us)
+
+
+def _year_us(year: int) -> int:
+    return (dt.date(year, 1, 1).toordinal() - dt.date(1970, 1, 1).toordinal()) * 86_400_000_000
+
+
 def _explode_zones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for name in batch["zone"]:
+            runs = _zone_runs(name)
+            if runs:  # a zone's first offset also holds before
+                runs[0] = (runs[0][0] - 3 * 86_400_000_000, *runs[0][1:])
             rows = [
                 (name, slot, max(lo + off, slot * SLOT_US), min(hi + off, (slot + 1) * SLOT_US), off)
-                for lo, hi, off in _zone_runs(name)
+                for lo, hi, off in runs
                 for slot in range((lo + off) // SLOT_US, (hi + off - 1) // SLOT_US + 1)
             ]
+            if runs:  # all earlier times, in one slot of their own
+                rows.append((name, EARLIER, -(2**63), _year_us(YEARS[0]), runs[0][2]))
             yield pd.DataFrame(rows, columns=["zone", "slot", "lo", "hi", "offset_us"])
 
 
 def zone_intervals(zones: DataFrame) -> DataFrame:
     """Offset intervals on the local time line, cut at slots, of ``zones.zone``.
 
-    At most some 600 zones exist with under 700 pieces each, so the result is
+    At most some 600 zones exist with under 800 pieces each, so the result is
     bounded whatever the input, and safe to broadcast.  Unknown names have none.
     """
     return zones.where(F.col("zone").isNotNull()).repartition(8, "zone").dropDuplicates(["zone"]).mapInPandas(_explode_zones, _INTERVALS)
 
 
-def normalise_stamps(stamps: DataFrame, hosts: DataFrame, hosts_rows: int) -> DataFrame:
-    """Rows (stamp_table, stamp_id, utc_us) of the stamps that denote one instant.
+def read_stamps(stamps: DataFrame, hosts: DataFrame, hosts_rows: int) -> DataFrame:
+    """Rows (stamp_table, stamp_id, stamp, utc_us, reason), one for each distinct
+    stamp: the instant, or the reason why it has none.
 
     ``stamps``: stamp_table, stamp_id, host_id, stamp; ``hosts``: host_id,
     tz_name, locale, with its counted number of rows.  Further columns are
-    ignored.  A zone or offset in the stamp goes before the host's zone.  No
-    row results from a null, blank or unreadable stamp, the stand-ins 0, -1 and
-    0000-00-00, a null id, an impossible date, an unknown zone, and a wall time
-    that its zone skips or shows twice.  Repeated rows give one row; an empty
+    ignored.  A zone or offset in the stamp goes before the host's zone; an
+    offset before the zone that stands in brackets behind it.  Reasons are
+    ``no time`` (null, blank, the stand-ins 0, -1 and 0000-00-00), ``unread``
+    (no known notation; a date without a time of day), ``impossible`` (no
+    calendar has it), ``unknown zone``, ``skipped`` and ``shown twice`` (by a
+    clock change).  Years are not limited.  A null id is kept as it is; an empty
     table gives an empty result.
     """
     known = hosts.select("host_id", F.col("tz_name").alias("_tz"), F.col("locale").alias("_locale")).dropDuplicates(["host_id"])
@@ -202,29 +239,43 @@ def normalise_stamps(stamps: DataFrame, hosts: DataFrame, hosts_rows: int) -> Da
         known = F.broadcast(known)
     parsed = (
         stamps.select("stamp_table", "stamp_id", "host_id", "stamp")
-        .where(F.col("stamp").isNotNull() & F.col("stamp_id").isNotNull())
         .join(known, "host_id", "left")
         # inline() keeps the optimizer from repeating the parser in every later expression.
-        .select("stamp_table", "stamp_id", "_tz", F.inline(F.array(parse_stamp(F.col("stamp"), F.col("_locale")))))
-        .where("utc_us is not null or local_us is not null")
+        .select("stamp_table", "stamp_id", "stamp", "_tz", F.inline_outer(F.array(parse_stamp(F.col("stamp"), F.col("_locale")))))
     )
     bracket = F.regexp_extract("zone_text", r"^\[(.+)\]$", 1)
     own = zone_offset_us(F.col("zone_text"))
     resolved = parsed.select(
         "stamp_table",
         "stamp_id",
+        "stamp",
         "local_us",
         F.coalesce("utc_us", F.col("local_us") - own).alias("direct_us"),
-        F.when(F.col("zone_text").isNull(), F.col("_tz")).when(bracket != "", bracket).alias("zone"),
-    ).withColumn("slot", F.floor(F.col("local_us") / SLOT_US).cast("bigint"))
-    named = stamps.select(F.regexp_extract("stamp", r"\[([^\]]+)\]\s*$", 1).alias("zone")).where("zone <> ''").distinct()
+        F.when(F.col("zone_text").isNull(), F.col("_tz")).when(bracket != "", bracket).when(F.col("zone_text").contains("/"), F.col("zone_text")).alias("zone"),
+        _folded(F.col("local_us")).alias("_at"),
+    ).withColumn("slot", F.when(F.col("_at") < _year_us(YEARS[0]) - 86_400_000_000, EARLIER).otherwise(F.floor(F.col("_at") / SLOT_US)).cast("bigint"))
+    in_text = F.coalesce(F.nullif(F.regexp_extract("stamp", r"\[([^\]]+)\]\s*$", 1), F.lit("")), F.regexp_extract("stamp", r"\s([A-Z]\p{L}+(?:/[\w+-]+)+)\s*$", 1))
+    named = stamps.select(in_text.alias("zone")).where("zone <> ''").distinct()
     intervals = F.broadcast(zone_intervals(known.select(F.col("_tz").alias("zone")).union(named)))
-    matched = resolved.join(intervals, ["zone", "slot"], "left").where("direct_us is not null or (local_us >= lo and local_us < hi)")
-    utc = F.coalesce("direct_us", F.col("local_us") - F.col("offset_us"))
-    return (
-        matched.groupBy("stamp_table", "stamp_id", "zone", "local_us", "direct_us")
-        .agg(F.min(utc).alias("utc_us"), F.max(utc).alias("_last"))
-        .where("utc_us = _last")
-        .select("stamp_table", "stamp_id", "utc_us")
-        .distinct()
-    )
+    matched = resolved.join(intervals, ["zone", "slot"], "left")
+    fits = F.col("direct_us").isNotNull() | ((F.col("_at") >= F.col("lo")) & (F.col("_at") < F.col("hi")))
+    utc = F.when(fits, F.coalesce("direct_us", F.col("local_us") - F.col("offset_us")))
+    found = matched.groupBy("stamp_table", "stamp_id", "stamp", "zone", "local_us", "direct_us").agg(F.min(utc).alias("utc_us"), F.max(utc).alias("_last"), F.max("offset_us").isNotNull().alias("_known"))
+    text = F.trim(F.regexp_replace("stamp", r"\s+", " "))
+    said = F.coalesce(text.rlike(r"[1-9]") & (text != "-1"), F.lit(False))
+    shaped = F.coalesce(text.rlike("|".join((_ISO, _COMPACT, _NUMERIC, _WORDED, _YEAR_LAST, _COUNT, _FRACTION, _HEX))), F.lit(False))
+    reason = (
+        F.when(F.col("utc_us") == F.col("_last"), None).when(~said, "no time").when(F.col("local_us").isNull() & F.col("direct_us").isNull(), F.when(shaped, "impossible").otherwise("unread"))
+        .when(F.col("utc_us") != F.col("_last"), "shown twice").when(F.col("_known"), "skipped").otherwise("unknown zone")
+    )
+    return found.select("stamp_table", "stamp_id", "stamp", F.when(F.col("utc_us") == F.col("_last"), F.col("utc_us")).alias("utc_us"), reason.alias("reason"))
+
+
+def normalise_stamps(stamps: DataFrame, hosts: DataFrame, hosts_rows: int) -> DataFrame:
+    """Rows (stamp_table, stamp_id, utc_us) of the stamps that denote one instant.
+
+    Those of ``read_stamps`` that have an instant and an id; repeated rows give
+    one row; an empty table gives an empty result.
+    """
+    some = stamps.where(F.col("stamp").isNotNull() & F.col("stamp_id").isNotNull())
+    return read_stamps(some, hosts, hosts_rows).where("utc_us is not null").select("stamp_table", "stamp_id", "utc_us").distinct()

@@ -68,8 +68,12 @@ def duplicate_groups(spark, d):
     return D.duplicate_groups(D.duplicate_members(_contents(spark, d), F.col("content")))
 
 
+def signature_candidates(spark, d):
+    return D.signature_candidates(_contents(spark, d), F.col("content"))
+
+
 def duplicate_plan(spark, d):
-    return D.duplicate_plan(D.duplicate_members(_contents(spark, d), F.col("content"), full=True))
+    return D.duplicate_plan(D.duplicate_members(_contents(spark, d), F.col("content")))
 
 
 def catalog_duplicates(spark, d):
@@ -166,19 +170,16 @@ def archive_contents(spark, d):
 _BYTES = "(SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents)"
 _ENTROPY = f"SELECT doc_id, -sum(p * log2(p)) / 8 AS e FROM (SELECT doc_id, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM {_BYTES} GROUP BY doc_id, b) GROUP BY doc_id"
 _SIGNATURE = "sha256(unhex(hex(encode(text))[1:32768] || CASE WHEN strlen(text) > 32768 THEN right(hex(encode(text)), 32768) ELSE '' END))"
-_MEMBERS = f"""
-WITH s AS (SELECT doc_id, volume_id, strlen(text) AS size, {_SIGNATURE} AS signature, sha256(text) AS "full" FROM documents WHERE strlen(text) >= 1),
-c AS (SELECT *, count(*) OVER (PARTITION BY size, signature) AS ns FROM s),
-k AS (SELECT *, count(*) OVER (PARTITION BY size) AS nc FROM c WHERE ns > 1),
-g AS (SELECT doc_id, volume_id, size, %s AS digest FROM k),
-m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY size, digest) AS n FROM g) WHERE n > 1)
+_MEMBERS = """
+WITH s AS (SELECT doc_id, volume_id, strlen(text) AS size, sha256(text) AS digest FROM documents WHERE strlen(text) >= 1),
+m AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY size, digest) AS n FROM s) WHERE n > 1)
 """
 _HASH = "(SELECT vec_id AS id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(pow(2::HUGEINT, i - 1) AS HUGEINT) ELSE 0::HUGEINT END))::UBIGINT AS h FROM embeddings)"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        content_digests, content_checksums, content_entropy, content_encryption, magic_bytes, cipher_table, duplicate_groups, duplicate_plan, catalog_duplicates, fuzzy_digests, fuzzy_scores, hash_neighbours,
+        content_digests, content_checksums, content_entropy, content_encryption, magic_bytes, cipher_table, duplicate_groups, signature_candidates, duplicate_plan, catalog_duplicates, fuzzy_digests, fuzzy_scores, hash_neighbours,
         lsh_bucket_sizes, perceptual_hashes, content_chunks, chunk_set_sketches, printable_strings, file_slack, keyword_counts, carved_files, archive_entries, archive_contents,
     )
 }
@@ -194,10 +195,11 @@ FROM documents d LEFT JOIN ({_ENTROPY}) x ON d.doc_id = x.doc_id""",
     "cipher_table": "SELECT name, block_size, unnest(key_bits)::INTEGER AS key_bits, modes FROM (VALUES "
     + ", ".join(f"('{n}', {b}, [{', '.join(map(str, k))}], '{','.join(m)}')" for n, _, b, k, m in K.CIPHERS)
     + ") t(name, block_size, key_bits, modes)",
-    "duplicate_groups": _MEMBERS % 'CASE WHEN nc > 10 THEN "full" ELSE signature END' + "SELECT digest, size, count(*) AS n, (count(*) - 1) * size AS savings, min(volume_id) = max(volume_id) AS same_volume FROM m GROUP BY digest, size",
-    "duplicate_plan": _MEMBERS % '"full"' + """
+    "duplicate_groups": _MEMBERS + "SELECT digest, size, count(*) AS n, (count(*) - 1) * size AS savings, min(volume_id) = max(volume_id) AS same_volume FROM m GROUP BY digest, size",
+    "duplicate_plan": _MEMBERS + """
 SELECT doc_id AS file_id, digest, CASE WHEN doc_id = k THEN 'keep' WHEN v0 <> v1 THEN 'recycle' ELSE 'hardlink' END AS action, CASE WHEN doc_id = k THEN 0 ELSE size END AS bytes
 FROM (SELECT *, min(doc_id) OVER w AS k, min(volume_id) OVER w AS v0, max(volume_id) OVER w AS v1 FROM m WINDOW w AS (PARTITION BY digest, size))""",
+    "signature_candidates": f"SELECT strlen(text) AS size, {_SIGNATURE} AS signature, count(*) AS n FROM documents WHERE strlen(text) >= 1 GROUP BY 1, 2 HAVING count(*) > 1",
     "catalog_duplicates": "SELECT size_logical AS size, lower(hex(coalesce(sha256, head_tail))) AS digest, count(*) AS n, (count(*) - 1) * size_logical AS savings FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1) WHERE NOT deleted AND size_logical > 0 AND coalesce(sha256, head_tail) IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
     "fuzzy_digests": f"""
 WITH h AS (SELECT doc_id, ('0x' || b)::INTEGER % 128 AS k, count(*) AS n FROM {_BYTES} GROUP BY 1, 2),

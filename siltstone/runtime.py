@@ -5,8 +5,11 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import time
 import uuid
+import warnings
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -41,25 +44,31 @@ class Scratch:
 
     Each table is Parquet below the shared folder, so that a lost executor
     costs a read and not a recomputation, and lineage ends there.  Tables that
-    are no longer needed are dropped early; the rest goes at exit.
+    are no longer needed are dropped early; the rest goes when the interpreter
+    exits or, used as a context manager, when the block ends.  What a driver
+    that died left behind is removed by ``sweep``.
     """
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.root)
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
         self.rows: dict[str, int] = {}
         atexit.register(self._remove, self.root)
 
-    def write(self, df: DataFrame, name: str, **more: Column) -> DataFrame:
+    def write(self, df: DataFrame, name: str, *, by: str | None = None, **more: Column) -> DataFrame:
         """Write ``df`` and read it back; ``rows[name]`` is then its row count
-        and ``rows[name.key]`` the value of each further aggregate."""
+        and ``rows[name.key]`` the value of each further aggregate.  With ``by``
+        there is one folder for each value of that column, which filters prune."""
         seen = Observation()
         path = f"{self.root}/{name}"
-        (
-            df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items()))
-            .write.option("compression", "zstd")
-            .parquet(path)
-        )
+        writer = df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in more.items())).write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         got = seen.get
         self.rows[name] = got["n"]
         self.rows |= {f"{name}.{k}": got[k] for k in more}
@@ -71,12 +80,59 @@ class Scratch:
             self._remove(f"{self.root}/{name}")
 
     def _remove(self, path: str) -> None:
+        if self.spark.sparkContext._jsc is None:  # the session was stopped before: left to ``sweep``
+            return
         try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone: so is the need
-            pass
+            files, p = _file_system(self.spark, path)
+            files.delete(p, True)
+        except Exception as e:  # at exit the gateway may be gone already
+            if self.spark.sparkContext._jsc is not None and not sys.is_finalizing():
+                warnings.warn(f"{path} is left behind: {type(e).__name__}", stacklevel=2)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Remove the intermediate tables of runs that ended without doing so: folders
+    below the shared one that are older than this.  The number removed."""
+    files, p = _file_system(spark, f"{shared_dir(spark)}/siltstone")
+    if not files.exists(p):
+        return 0
+    limit = (time.time() - older_than_hours * 3600) * 1000
+    old = [s.getPath() for s in files.listStatus(p) if s.getModificationTime() < limit]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in one step: written beside its place, then put there."""
+    files, p = _file_system(spark, path)
+    _, beside = _file_system(spark, f"{path}.new")
+    out = files.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(p, False)
+    if not files.rename(beside, p):
+        raise OSError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    files, p = _file_system(spark, path)
+    if not files.exists(p):
+        files, p = _file_system(spark, f"{path}.new")  # a writer died between its two steps
+        if not files.exists(p):
+            return None
+    size = files.getFileStatus(p).getLen()
+    jvm = spark.sparkContext._jvm
+    opened = files.open(p)
+    text = jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8") if size else ""
+    opened.close()
+    return text
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -18,6 +18,17 @@ from siltstone.sources import sinks
 from siltstone.streaming import changes
 
 
+def test_order_statistics_of_wide_numbers(spark, monkeypatch):
+    monkeypatch.setattr(S, "SORTED_ROWS", 3)
+    values = sorted([-(2**63), 2**63 - 1, 2**60, 2**60 + 1, 2**60 + 2, 2**53, 2**53 + 1, 0, 0, 1])
+    places = {str(k): k / 10 for k in range(11)}
+    got = S.order_statistics(spark.createDataFrame([(v,) for v in values], "v long"), "v", places)
+    assert got == {str(k): values[min(k, 9)] for k in range(11)}
+    floats = sorted([-1.7e308, 1.7e308, 0.5, 0.25, -0.25, 3.0, 3.0, 1e-300, 7.0, 8.0])
+    got = S.order_statistics(spark.createDataFrame([(v,) for v in floats], "v double"), "v", places)
+    assert got == {str(k): floats[min(k, 9)] for k in range(11)}
+
+
 def test_order_statistics_of_many_rows(spark, monkeypatch):
     monkeypatch.setattr(S, "SORTED_ROWS", 50)
     monkeypatch.setattr(S, "PIECES", 16)

@@ -217,3 +217,10 @@ def test_perceptual_hashes_read_whole_texts(spark, tmp_path):
     rows = np.full((320, 32), 100, dtype=np.uint8)
     rows[[5, 6, 105, 206], 7:19] = 255
     assert Z.bytes_phash_of(rows.tobytes()) != Z.bytes_phash_of(np.full((320, 32), 100, dtype=np.uint8).tobytes())
+
+
+def test_files_that_differ_in_the_middle_are_no_duplicates(spark):
+    edge = b"x" * 20_000
+    files = spark.createDataFrame([(1, 1, bytearray(edge + b"a" + edge)), (2, 1, bytearray(edge + b"b" + edge)), (3, 1, bytearray(b"")), (4, 1, None)], "file_id long, volume_id long, content binary")
+    assert D.duplicate_members(files, F.col("content")).count() == 0
+    assert [(r.size, r.n) for r in D.signature_candidates(files, F.col("content")).collect()] == [(40_001, 2)]

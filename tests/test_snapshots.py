@@ -73,3 +73,10 @@ def test_ordinals_last_and_new_ones_follow(spark):
     second = {(r.volume_id, r.full_path): r.ordinal for r in assign_ordinals(spark.createDataFrame([(1, "/3"), (2, "/3"), (2, "/4")], keys), known).collect()}
     assert all(second[r.volume_id, r.full_path] == r.ordinal for r in first)
     assert sorted(second[k] for k in ((2, "/3"), (2, "/4"))) == [50, 51]
+
+
+def test_an_ordinal_of_zero_is_not_given_again(spark):
+    key = "volume_id long, full_path string"
+    first = assign_ordinals(spark.createDataFrame([(1, "/a")], key))
+    both = assign_ordinals(spark.createDataFrame([(1, "/a"), (1, "/b")], key), first)
+    assert sorted((r.full_path, r.ordinal) for r in both.collect()) == [("/a", 0), ("/b", 1)]

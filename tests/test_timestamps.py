@@ -5,7 +5,7 @@ import zoneinfo
 
 import pytest
 
-from siltstone.operators.timestamps import _zone_runs, normalise_stamps
+from siltstone.operators.timestamps import _zone_runs, normalise_stamps, read_stamps
 
 HOSTS = "host_id int, tz_name string, locale string"
 STAMPS = "stamp_table string, stamp_id long, host_id int, stamp string"
@@ -42,6 +42,12 @@ CASES = {
     "1 ago. 2021 05:42": us(2021, 8, 1, 5, 42, minutes=120),
     "14.01.2022 02:38:07": us(2022, 1, 14, 2, 38, 7, minutes=60),
     "2022-01-14 02.38.07": us(2022, 1, 14, 2, 38, 7, minutes=60),
+    "2022-07-14T02:38:42+02:00[Europe/Berlin]": us(2022, 7, 14, 2, 38, 42, minutes=120),
+    "2022-07-14 02:38:42 Asia/Tokyo": us(2022, 7, 14, 2, 38, 42, minutes=540),
+    "2022/07/14 02:38:42": us(2022, 7, 14, 2, 38, 42, minutes=120),
+    "14/Jul/2022:02:38:42 -0500": us(2022, 7, 14, 2, 38, 42, minutes=-300),
+    "Thu Jul 14 02:38:42 2022": us(2022, 7, 14, 2, 38, 42, minutes=120),
+    "14 Jul 2022 02:38:42.75 Z": us(2022, 7, 14, 2, 38, 42, micro=750_000),
 }
 NONE = [None, "", "  ", "0", "-1", "n/a", "0000-00-00 00:00:00", "2022-02-30 10:00:00", "2022-13-01 10:00:00", "2022-01-01 25:00:00", "2022-01-01 10:00:00 XYZ", "2022-01-01T10:00:00[No/Where]",
         "2022-03-27 02:30:00", "2022-10-30 02:30:00", "nonsense " * 5000]
@@ -94,3 +100,22 @@ def test_intervals_agree_with_zoneinfo(name):
         for second, want in ((start // 10**6, offset), (start // 10**6 - 1, None)):
             moment = dt.datetime.fromtimestamp(second, UTC).astimezone(zone).utcoffset().total_seconds() * 1e6
             assert (moment == offset) is (want is not None)
+
+
+@pytest.mark.parametrize("year", [1, 1601, 1899, 1900, 2099, 2100, 2101, 2150, 2196, 2400, 9998])
+@pytest.mark.parametrize("name", ["Europe/Madrid", "America/New_York", "Australia/Sydney", "Asia/Tokyo"])
+def test_years_have_no_end(spark, name, year):
+    zone = zoneinfo.ZoneInfo(name)
+    days = [dt.datetime(year, m, d, 12, tzinfo=zone) for m, d in ((1, 1), (3, 12), (3, 30), (6, 1), (10, 3), (10, 28), (11, 4), (12, 31))]
+    rows = [("t", i, 1, f"{d:%m-%d %H:%M:%S}".join([f"{year:04d}-", ""])) for i, d in enumerate(days)]
+    want = [(i, round((d.astimezone(UTC) - dt.datetime(1970, 1, 1, tzinfo=UTC)).total_seconds()) * 10**6) for i, d in enumerate(days)]
+    assert run(spark, rows, ((1, name, "en-GB"),)) == want
+
+
+def test_reasons(spark):
+    texts = {None: "no time", " ": "no time", "-1": "no time", "0000-00-00 00:00:00": "no time", "next Tuesday 5": "unread", "2022-01-14": "unread", "2022-02-30 10:00:00": "impossible", "2022-03-27 02:30:00": "skipped",
+             "2022-10-30 02:30:00": "shown twice", "2022-01-01T10:00:00[No/Where]": "unknown zone", "2022-01-01 10:00:00 XYZ": "unknown zone", "1640995200": None}
+    stamps = spark.createDataFrame([("t", i, 1, s) for i, s in enumerate(texts)], STAMPS)
+    hosts = spark.createDataFrame([(1, "Europe/Madrid", "es-ES")], HOSTS)
+    got = {r.stamp: r.reason for r in read_stamps(stamps, hosts, 1).collect()}
+    assert got == texts
