@@ -5,35 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.hierarchy import current_rows, hierarchy
+from siltstone.operators.hierarchy import ancestors, current_rows, descendants, hierarchy
 from siltstone.operators.snapshots import file_snapshot_changes
-from siltstone.operators.timestamps import normalise_stamps
+from siltstone.operators.timestamps import normalise_stamps, read_stamps
 from siltstone.runtime import table
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("file_timestamps", "stamp_id", "creation_time"), ("trash_entry", "trash_id", "deletion_date"), ("metadata_info", "metadata_id", "last_write_time"))
     stamps = None
     for name, key, text in parts:
         one = table(spark, sf_dir, name).select(F.lit(name).alias("stamp_table"), F.col(key).alias("stamp_id"), "host_id", F.col(text).alias("stamp"))
         stamps = one if stamps is None else stamps.unionByName(one)
+    return stamps
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "scan_host")
-    return normalise_stamps(stamps, hosts, hosts.count())
+    return normalise_stamps(_stamps(spark, sf_dir), hosts, hosts.count())
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _trees(spark: SparkSession, sf_dir: str, with_paths: bool = False) -> DataFrame:
     nodes = current_rows(table(spark, sf_dir, "treemap_node"), ["volume_id", "file_id"], "seq", ["path_id", "name", "size_logical"])
-    trees = hierarchy(nodes.select(F.col("file_id").alias("id"), F.col("path_id").alias("parent"), "name", F.col("size_logical").alias("bytes")))
-    return trees.select(F.col("id").alias("file_id"), F.col("root").alias("root_id"), "depth", F.col("n_below").cast("int").alias("n_below"))
+    return hierarchy(nodes.select(F.col("file_id").alias("id"), F.col("path_id").alias("parent"), "name", F.col("size_logical").alias("bytes")), with_paths)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trees(spark, sf_dir).select(F.col("id").alias("file_id"), F.col("root").alias("root_id"), "depth", F.col("n_below").cast("int").alias("n_below"))
+
+
+def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path and rolled-up size of each node."""
+    return _trees(spark, sf_dir, True).select(F.col("id").alias("file_id"), "path", "total_bytes")
+
+
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants, by nested-set ranges, of each node whose id is divisible by 100."""
+    trees = _trees(spark, sf_dir)
+    return descendants(trees, trees.where("id % 100 = 0")).select(F.col("ancestor").alias("file_id"), F.col("id").alias("below_id"))
+
+
+def p3_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ancestors, by nested-set ranges, of each node whose id is divisible by 100."""
+    trees = _trees(spark, sf_dir)
+    return ancestors(trees, trees.where("id % 100 = 0")).select(F.col("id").alias("file_id"), F.col("ancestor").alias("above_id"))
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many stamps of each table have an instant, and why the others have none."""
+    hosts = table(spark, sf_dir, "scan_host")
+    read = read_stamps(_stamps(spark, sf_dir), hosts, hosts.count())
+    return read.groupBy("stamp_table", F.coalesce("reason", F.lit("instant")).alias("reason")).agg(F.count_distinct("stamp_id").alias("n"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_snapshot_changes(spark, sf_dir)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_paths, p3_descendants, p3_ancestors, p6_found)}
+
+_TREES = """
+WITH RECURSIVE node AS (
+  SELECT file_id, v.p AS p0, v.n AS name, v.s AS own FROM (SELECT file_id, arg_max(struct_pack(p := path_id, n := name, s := size_logical), seq) AS v FROM treemap_node GROUP BY file_id)
+), link AS (
+  SELECT n.file_id, p.file_id AS parent, coalesce(n.name, '') AS name, coalesce(n.own, 0) AS own FROM node n LEFT JOIN node p ON n.p0 = p.file_id AND n.p0 <> 0
+), down AS (
+  SELECT file_id, name AS path FROM link WHERE parent IS NULL
+  UNION ALL SELECT l.file_id, d.path || '/' || l.name FROM down d JOIN link l ON l.parent = d.file_id
+), up AS (
+  SELECT l.file_id, l.parent AS above FROM link l JOIN down d ON l.file_id = d.file_id WHERE l.parent IS NOT NULL
+  UNION ALL SELECT u.file_id, l.parent FROM up u JOIN link l ON u.above = l.file_id WHERE l.parent IS NOT NULL
+)"""
 
 SQL = {
+    "p3_paths": f"""{_TREES}, below AS (
+  SELECT u.above AS file_id, sum(l.own) AS s FROM up u JOIN link l ON u.file_id = l.file_id GROUP BY 1
+)
+SELECT l.file_id, d.path, CASE WHEN d.path IS NOT NULL THEN (l.own + coalesce(b.s, 0))::BIGINT END AS total_bytes FROM link l LEFT JOIN down d ON l.file_id = d.file_id LEFT JOIN below b ON l.file_id = b.file_id""",
+    "p3_descendants": f"{_TREES} SELECT above AS file_id, file_id AS below_id FROM up WHERE above % 100 = 0",
+    "p3_ancestors": f"{_TREES} SELECT file_id, above AS above_id FROM up WHERE file_id % 100 = 0",
     "p3_found": """
 WITH RECURSIVE node AS (
   SELECT file_id, arg_max(path_id, seq) AS p0 FROM (SELECT file_id, coalesce(path_id, 0) AS path_id, seq FROM treemap_node) GROUP BY file_id

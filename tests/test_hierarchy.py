@@ -2,8 +2,23 @@
 
 import random
 
+import pytest
+
+from siltstone.operators import hierarchy as H
 from siltstone.operators.hierarchy import ancestors, current_rows, descendants, hierarchy
 
+
+
+@pytest.fixture(autouse=True, params=[100_000, 3])
+def task_nodes(request, monkeypatch):
+    """All rounds in one task, and nearly all of them distributed."""
+    monkeypatch.setattr(H, "TASK_NODES", request.param)
+    if request.param == 3:
+        monkeypatch.setattr(H, "BLOCK_CHILDREN", 4)
+        monkeypatch.setattr(H, "HOT_ROWS", 5)
+        monkeypatch.setattr(H, "hot_limit", lambda rows: 5)
+
+
 NODES = "id long, parent long, name string, bytes long"
 
 
@@ -89,3 +104,15 @@ def test_wide_parent_crosses_sibling_blocks(spark):
 def test_current_rows_take_the_highest_seq(spark):
     df = spark.createDataFrame([(1, 1, "old"), (1, 3, "new"), (1, 3, "new"), (1, None, "none"), (2, None, "only")], "k int, seq int, v string")
     assert sorted((r.k, r.v) for r in current_rows(df, ["k"], "seq", ["v"]).collect()) == [(1, "new"), (2, "only")]
+
+
+def test_many_nodes_under_one_cycle_and_one_parent(spark):
+    rows = [(1, 2, "a", 1), (2, 1, "b", 1)] + [(i, 1, "c", 1) for i in range(10, 60)] + [(100, None, "r", 1)] + [(i * 7919 % 100_003 + 200, 100, "d", 1) for i in range(60)]
+    trees = hierarchy(spark.createDataFrame(rows, NODES))
+    assert rows_of(trees) == brute(rows)
+    assert sorted(r.pre for r in trees.collect() if r.root == 100) == list(range(61))
+
+
+def test_totals_that_do_not_fit_are_null(spark):
+    rows = [(1, None, "a", 1), (2, 1, "b", 2**62), (3, 1, "c", 2**62), (4, 9, "d", 2**62), (9, 4, "e", 2**62)]
+    assert {r.id: r.total_bytes for r in hierarchy(spark.createDataFrame(rows, NODES)).collect()} == {1: None, 2: 2**62, 3: 2**62, 4: None, 9: None}
