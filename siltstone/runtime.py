@@ -55,11 +55,13 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self._remove(self.root)
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, kept: str | None = None):
+        """``kept`` names a folder of the caller's whose tables stay."""
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+        self.root = kept or f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
         self.rows: dict[str, int] = {}
-        atexit.register(self._remove, self.root)
+        if not kept:
+            atexit.register(self._remove, self.root)
 
     def write(self, df: DataFrame, name: str, *, by: str | None = None, **more: Column) -> DataFrame:
         """Write ``df`` and read it back; ``rows[name]`` is then its row count
