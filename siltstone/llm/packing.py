@@ -6,7 +6,8 @@ sizes so that their sum is a lower bound on the containers any packing needs;
 the sums add up over partitions, which certifies the packing as a whole.
 Containers that a partition leaves with a gap give their items back; these
 exchange partitions and are packed again, in ever fewer partitions, until the bound is
-met, the rest fits one partition, or packing it again saves no more containers.
+met, the rest fits one partition, or an exchange saves less than GAIN, one in 200,
+of the containers that were packed again.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ GAIN = 1 / 200
 #: Thresholds of the dual-feasible functions, as shares of the capacity.
 THRESHOLDS = np.arange(1, 33) / 64
 
-_PACKED = "kind string, part int, bin int, doc_id bigint, piece_no int, tokens int, free int, sums array<double>"
+_ITEM = ["doc_id", "text_key", "piece_no", "n_pieces", "tokens"]
+_PACKED = "kind string, part int, bin int, doc_id bigint, text_key bigint, piece_no int, n_pieces int, tokens int, free int, sums array<double>"
 
 
 @lru_cache(maxsize=2)
@@ -50,15 +52,17 @@ def _encoding(path: str):
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of the whole texts; a null text has no tokens."""
+    """(doc_id, text_key, tokens) of the whole texts; a null text has no tokens.
+    text_key, a 64-bit hash, tells the texts of one doc_id apart."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(tokenizer).encode_ordinary
         for batch in batches:
             counts = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int32())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(counts, pa.int32())], names=["doc_id", "text_key", "tokens"])
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(measure, "doc_id bigint, tokens int")
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return texts.mapInArrow(measure, "doc_id bigint, text_key bigint, tokens int")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +114,7 @@ def lower_bound(sums: np.ndarray) -> int:
 def _pack_part(capacity: int, last: bool):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         # A fixed order makes the result independent of how rows arrive.
-        pdf = pdf.sort_values(["tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["tokens", "doc_id", "text_key", "piece_no"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         sizes = pdf["tokens"].to_numpy(dtype=np.int64)
         bins, free = best_fit(sizes, capacity)
         sums = bound_sums(sizes, capacity)
@@ -119,43 +123,45 @@ def _pack_part(capacity: int, last: bool):
         pdf["kind"] = np.where(keep_all | (free[bins] <= capacity * GAP), "placed", "open")
         pdf["sums"] = None
         told = pd.DataFrame({"kind": ["sums"], "part": [pdf["part"].iloc[0]], "sums": [sums.tolist()]})
-        return pd.concat([pdf, told])[["kind", "part", "bin", "doc_id", "piece_no", "tokens", "free", "sums"]].astype({"bin": "Int32", "doc_id": "Int64", "piece_no": "Int32", "tokens": "Int32", "free": "Int32"})
+        numbers = {"bin": "Int32", "doc_id": "Int64", "text_key": "Int64", "piece_no": "Int32", "n_pieces": "Int32", "tokens": "Int32", "free": "Int32"}
+        # Nullable integers first: floats between would lose digits of large identifiers.
+        return pd.concat([pdf.astype(numbers), told])[["kind", "part", "bin", *_ITEM, "free", "sums"]]
 
     return pack
 
 
 def pack_documents(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER) -> tuple[DataFrame, int, int]:
-    """Placements (doc_id, piece_no, n_pieces, tokens, container_id), the number of
-    containers, and the certified lower bound on it.
+    """Placements (doc_id, text_key, piece_no, n_pieces, tokens, container_id), the
+    number of containers, and the certified lower bound on it.
 
     ``documents``: doc_id, text.  Only a text longer than ``capacity`` is split,
     into full pieces and one rest.  A text without tokens, empty or null, takes
     no room: one piece, container_id null.  Rows without doc_id are left out;
-    repeated rows are packed once; an empty table gives an empty result.
+    repeated rows are packed once, different texts of one doc_id each by itself;
+    an empty table gives an empty result.
     """
     scratch = Scratch(documents.sparkSession, "packing")
     sized = scratch.write(count_tokens(documents, tokenizer).distinct(), "sized", pieces=F.sum(F.call_function("div", F.col("tokens") + capacity - 1, F.lit(capacity))))
     items = max(1, scratch.rows["sized.pieces"] or 0)
     pieces = F.greatest(F.call_function("div", F.col("tokens") + capacity - 1, F.lit(capacity)), F.lit(1)).cast("int")
-    split = sized.select("doc_id", "tokens", pieces.alias("n_pieces")).select("doc_id", "n_pieces", F.explode(F.sequence(F.lit(1), "n_pieces")).alias("piece_no"), "tokens")
+    split = sized.select("doc_id", "text_key", "tokens", pieces.alias("n_pieces")).select("doc_id", "text_key", F.explode(F.sequence(F.lit(1), "n_pieces")).alias("piece_no"), "n_pieces", "tokens")
     split = split.withColumn("tokens", F.when(F.col("piece_no") < F.col("n_pieces"), capacity).otherwise(F.col("tokens") - (F.col("n_pieces") - 1) * capacity).cast("int"))
-    counts = sized.select("doc_id", pieces.alias("n_pieces"))
 
     def container(round_no: int):
         return F.concat_ws(":", F.lit(round_no), "part", "bin").alias("container_id")
 
     whole = split.where(F.col("tokens") == capacity)
-    rest = split.where((F.col("tokens") > 0) & (F.col("tokens") < capacity)).select("doc_id", "piece_no", "tokens")
+    rest = split.where((F.col("tokens") > 0) & (F.col("tokens") < capacity)).select(*_ITEM)
     # Full pieces fill a container each, which is named after them.
     placed = [
-        whole.select("doc_id", "piece_no", "tokens", F.concat_ws(":", F.lit("whole"), "doc_id", "piece_no").alias("container_id")),
-        split.where("tokens = 0").select("doc_id", "piece_no", "tokens", F.lit(None).cast("string").alias("container_id")),
+        whole.select(*_ITEM, F.concat_ws(":", F.lit("whole"), "doc_id", "text_key", "piece_no").alias("container_id")),
+        split.where("tokens = 0").select(*_ITEM, F.lit(None).cast("string").alias("container_id")),
     ]
     n_whole = whole.count()
     total, bound, round_no, left, before = n_whole, None, 0, items, None
     while left:
         parts = max(1, -(-left // PARTITION_ITEMS))
-        parted = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(round_no)), F.lit(parts)).cast("int"))
+        parted = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "piece_no", F.lit(round_no)), F.lit(parts)).cast("int"))
         packed = parted.groupBy("part").applyInPandas(_pack_part(capacity, parts == 1), _PACKED)
         is_open, is_item = F.col("kind") == "open", F.col("kind") != "sums"
         name = f"round{round_no}"
@@ -171,8 +177,30 @@ def pack_documents(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZ
         keep = is_item & ~is_open if left else is_item
         total += bins["n"] - (bins["open"] if left else 0)
         before = bins["open"]
-        placed.append(packed.where(keep).select("doc_id", "piece_no", "tokens", container(round_no)))
-        rest = packed.where(is_open).select("doc_id", "piece_no", "tokens")
+        placed.append(packed.where(keep).select(*_ITEM, container(round_no)))
+        rest = packed.where(is_open).select(*_ITEM)
         round_no += 1
-    out = reduce(DataFrame.unionByName, placed).join(counts, "doc_id").select("doc_id", "piece_no", "n_pieces", "tokens", "container_id")
-    return out, total, bound if bound is not None else n_whole
+    return reduce(DataFrame.unionByName, placed), total, bound if bound is not None else n_whole
+
+
+def split_documents(placements: DataFrame) -> DataFrame:
+    """(doc_id) of the texts whose pieces lie in several containers."""
+    spread = placements.where("container_id is not null").groupBy("doc_id", "text_key").agg(F.min("container_id").alias("a"), F.max("container_id").alias("b"))
+    return spread.where("a < b").select("doc_id").distinct()
+
+
+def audit(placements: DataFrame, capacity: int, containers: int, bound: int, slack: float = 0.01) -> DataFrame:
+    """One row that checks a packing: documents, containers that hold more than
+    ``capacity``, texts not placed exactly once and in full, texts split that
+    would have fitted, whether the containers are as many as was said, and
+    whether they exceed the certified bound by no more than ``slack``."""
+    loads = placements.where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("load"))
+    texts = placements.groupBy("doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece_no").alias("numbers"), F.max("piece_no").alias("last"), F.max("n_pieces").alias("n"), F.sum("tokens").alias("tokens"),
+        F.count_if((F.col("piece_no") < F.col("n_pieces")) & (F.col("tokens") != capacity)).alias("short"),
+    )
+    of_loads = loads.agg(F.count_if(F.col("load") > capacity).alias("overfull"), (F.count(F.lit(1)) == containers).alias("counted"))
+    wrong = (F.col("pieces") != F.col("n")) | (F.col("numbers") != F.col("n")) | (F.col("last") != F.col("n")) | (F.col("short") > 0)
+    of_texts = texts.agg(F.count_distinct("doc_id").alias("documents"), F.count_if(wrong).alias("misplaced"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= capacity)).alias("split_short"))
+    near = F.lit(containers <= bound * (1 + slack) + 1)
+    return of_texts.crossJoin(of_loads).select("documents", "overfull", "misplaced", "split_short", "counted", near.alias("near_bound"))  # a row each

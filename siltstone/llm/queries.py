@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.contamination import leaked_items
-from siltstone.llm.history import duplicates_of_history
+from siltstone.llm.history import History, accept_batches, accept_catalog, duplicates_of_history
 from siltstone.llm.language import languages_not_named
 from siltstone.llm.neighbours import expanded_pairs, similar_vectors
-from siltstone.llm.packing import pack_documents
+from siltstone.llm.packing import audit, pack_documents, split_documents
 from siltstone.llm.survivor import duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
 from siltstone.operators.hierarchy import current_rows
-from siltstone.runtime import table
+from siltstone.runtime import Scratch, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates_of_history(catalog, table(spark, sf_dir, "incoming_entry"))
 
 
+def p4_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p4_found from two runs: the second opens the history that the
+    first left in a folder, and reads neither the catalog nor the first batches."""
+    catalog = table(spark, sf_dir, "file_entry").select("size_logical", "sha256", "head_tail")
+    incoming = table(spark, sf_dir, "incoming_entry")
+    ends = incoming.agg(F.min("entry_id").alias("a"), F.max("entry_id").alias("b")).first()
+    cut = ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    path = f"{Scratch(spark, 'kept').root}/history"
+    first = History(spark, path)
+    accept_catalog(first, catalog)
+    early = accept_batches(first, incoming.where(F.col("entry_id") <= cut))
+    first.close()
+    second = History(spark, path)
+    late = accept_batches(second, incoming.where(F.col("entry_id") > cut))
+    second.close()
+    return early.unionByName(late)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = current_rows(table(spark, sf_dir, "file_entry"), ["volume_id", "file_id"], "seq", ["deleted", "perceptual_hash"])
     rows = files.where("not deleted and perceptual_hash is not null").select(F.col("file_id").alias("id"), F.col("perceptual_hash").alias("vector"))
@@ -41,7 +59,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).first()[0]
     placements, _, _ = pack_documents(table(spark, sf_dir, "documents"), capacity)
-    return placements.where("n_pieces > 1").select("doc_id").distinct()
+    return split_documents(placements)
+
+
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row that checks the packing of all documents against capacity, texts and bound."""
+    capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).first()[0]
+    placements, containers, bound = pack_documents(table(spark, sf_dir, "documents"), capacity)
+    return audit(placements, capacity, containers, bound)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +77,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_not_named(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_resumed, p5_found, p7_found, p8_found, p8_audit, p9_found, p10_found)}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
@@ -63,6 +88,7 @@ SELECT * FROM (
   FROM ({_CURRENT}) WHERE NOT deleted AND size_logical IS NOT NULL
 ) WHERE rank_no <= 10
 """,
+    "p8_audit": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS misplaced, 0::BIGINT AS split_short, true AS counted, true AS near_bound FROM documents",
     "p4_found": """
 WITH old AS (
   SELECT DISTINCT -1 AS pos, size_logical AS size, lower(hex(sha256)) AS sha, lower(hex(head_tail)) AS ht FROM file_entry WHERE size_logical >= 1024
@@ -109,3 +135,4 @@ SELECT group_id, field_name, file_id FROM told
 QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust_rank NULLS LAST, t DESC NULLS LAST, file_id) = 1
 """,
 }
+SQL["p4_resumed"] = SQL["p4_found"]

@@ -85,10 +85,33 @@ def test_written_forms_of_a_digest(spark):
     assert [g and bytes(g) for g in got] == [raw] * len(forms) + [None] * len(bad)
 
 
-def test_segments_merge_logarithmically(spark):
-    store = history.History(spark, 1000)
-    rows = lambda a, b: spark.createDataFrame([(i, 2000 + i, i.to_bytes(32, "big"), None) for i in range(a, b)], "position long, size long, sha256 binary, head_tail binary")
+def records(spark, a, b):
+    return spark.createDataFrame([(i, 2000 + i, i.to_bytes(32, "big"), (i % 50).to_bytes(16, "big")) for i in range(a, b)], "position long, size long, sha256 binary, head_tail binary")
+
+
+def test_segments_merge_logarithmically_and_buckets_grow(spark, monkeypatch):
+    monkeypatch.setattr(history, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(history, "LEAST_BITS", 1)
+    store = history.History(spark)
     for k in range(8):
-        store.add(rows(k * 10, k * 10 + 10))
+        store.add(records(spark, k * 10, k * 10 + 10), 10)
         assert len(store.levels) <= 4
-    assert sum(n for n, _, _ in store.levels) == 80
+    assert sum(level.suffixes for level in store.levels) == 160
+    assert store.levels[0].bits > history._bits(20)
+    again = records(spark, 0, 80).withColumn("position", F.col("position") + 1000)
+    assert sorted((r.entry_id, r.kind, r.coverage) for r in store.check(again).collect()) == [(1000 + i, "exact", 56) for i in range(80)]
+
+
+def test_second_run_opens_the_history_and_reads_no_catalog(spark, tmp_path):
+    catalog, incoming = data(5, 120)
+    spark.createDataFrame(catalog, CATALOG).write.parquet(str(tmp_path / "catalog"))
+    files = spark.read.parquet(str(tmp_path / "catalog"))
+    path, got = f"file://{tmp_path}/history", {}
+    for low, high in ((0, 40), (40, 80), (80, 200)):
+        part = [r for r in incoming if low <= r[0] < high]
+        got |= {r.entry_id: r.kind for r in duplicates_of_history(files, spark.createDataFrame(part, INCOMING), path).collect()}
+        for f in (tmp_path / "catalog").iterdir():  # later runs could not read it if they tried
+            f.unlink()
+    assert got == brute(catalog, incoming)
+    store = history.History(spark, path)
+    assert not store.is_new and all("catalog" not in f for level in store.levels for f in store._segment(level).inputFiles())

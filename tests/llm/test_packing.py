@@ -79,3 +79,21 @@ def test_bound_is_below_and_fit_is_valid(seed):
 
 def test_bound_counts_items_that_never_share():
     assert lower_bound(bound_sums(np.full(10, 60), 100)) == 10
+
+
+def test_two_texts_of_one_document_are_packed_each(spark):
+    docs = [(1, text(25)), (1, text(3)), (1, text(3)), (1, "other " * 3), (2, None), (2, "")]
+    out, n, bound = pack_documents(spark.createDataFrame(docs, DOCS), 10)
+    rows = out.collect()
+    assert len(rows) == 3 + 1 + 1 + 2 and len({(r.text_key, r.piece_no) for r in rows}) == 7
+    said = packing.audit(out, 10, n, bound).first().asDict()
+    assert said == {"documents": 2, "overfull": 0, "misplaced": 0, "split_short": 0, "counted": True, "near_bound": True}
+    assert [r.doc_id for r in packing.split_documents(out).collect()] == [1]
+    assert packing.audit(out.where("piece_no = 1"), 10, n, bound).first().misplaced > 0
+    assert packing.audit(out.withColumn("container_id", out.container_id.substr(1, 1)), 10, n, bound).first().overfull > 0
+
+
+def test_large_identifiers_keep_their_digits(spark):
+    docs = [(2**62 + i, text(3)) for i in range(5)]
+    out, _, _ = pack_documents(spark.createDataFrame(docs, DOCS), 10)
+    assert sorted(r.doc_id for r in out.collect()) == [d for d, _ in docs]
