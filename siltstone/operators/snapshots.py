@@ -1,6 +1,8 @@
 """Changes between consecutive full snapshots.
 
-Each key gets a lasting ordinal from a dictionary that only ever grows.  A
+Each key gets a lasting ordinal from a dictionary that only ever grows; a
+``SnapshotStore`` keeps dictionary and snapshots in a folder, so that a new
+snapshot is compared with the last one without encoding any other again.  A
 snapshot is kept as one block per 32768 ordinals: a compressed bitmap of the
 ordinals present and, aligned with its set bits, the compressed vectors of the
 compared columns.  AND-NOT of two bitmaps gives additions and removals, and
@@ -9,17 +11,22 @@ the vectors at common bits give the changes.
 
 from __future__ import annotations
 
+import json
+import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.runtime import Scratch, table
+from siltstone.runtime import Scratch, read_text, table, write_text
 
 #: Ordinals of one block.
 BLOCK = 32_768
+_KEY = ["volume_id", "full_path"]
+_ORDINALS = "volume_id bigint, full_path string, ordinal bigint"
 _BLOCKS = "snap_no int, block bigint, n int, bitmap binary, vectors binary"
 _CHANGES = "snap_no int, ordinal bigint, change string"
 
@@ -31,8 +38,14 @@ def assign_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> Dat
     New keys are numbered within hash shards of bounded size and the shards'
     counts summed, so that no task numbers all of them.
     """
-    spark = keys.sparkSession
-    key = ["volume_id", "full_path"]
+    if dictionary is None:
+        return new_ordinals(keys)
+    return dictionary.select(*_KEY, "ordinal").unionByName(new_ordinals(keys, dictionary))
+
+
+def new_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """The part of ``assign_ordinals`` that ``dictionary`` lacks."""
+    spark, key = keys.sparkSession, _KEY
     fresh, start = keys.select(*key).where("volume_id is not null and full_path is not null").distinct(), 0
     if dictionary is not None:
         highest = dictionary.agg(F.max("ordinal")).first()[0]
@@ -50,8 +63,7 @@ def assign_ordinals(keys: DataFrame, dictionary: DataFrame | None = None) -> Dat
     starts = counts.withColumn("in_part", F.coalesce(F.sum("n").over(below(Window.partitionBy("part").orderBy("shard"))), F.lit(0))).join(part_start, "part")
     starts = starts.select("shard", (F.col("part_start") + F.col("in_part") + start).alias("start"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy(*key)) - 1
-    numbered = sharded.withColumn("place", place).join(starts, "shard").select(*key, (F.col("start") + F.col("place")).alias("ordinal"))
-    return numbered if dictionary is None else dictionary.select(*key, "ordinal").unionByName(numbered)
+    return sharded.withColumn("place", place).join(starts, "shard").select(*key, (F.col("start") + F.col("place")).alias("ordinal"))
 
 
 def _pack(bits: np.ndarray) -> bytes:
@@ -132,9 +144,7 @@ def snapshot_changes(snapshots: DataFrame, compared: dict[str, Column], dictiona
     spark = snapshots.sparkSession
     scratch = Scratch(spark, "snapshots")
     names = list(compared)
-    best = F.max(F.struct(F.col("seq"), *(compared[c].cast("bigint").alias(c) for c in names))).alias("_best")
-    latest = snapshots.where("snap_no is not null and volume_id is not null and full_path is not null").groupBy("snap_no", "volume_id", "full_path").agg(best)
-    latest = scratch.write(latest.select("snap_no", "volume_id", "full_path", *(F.col(f"_best.{c}").alias(c) for c in names)), "latest")
+    latest = scratch.write(_latest(snapshots, compared), "latest")
     ordinals = scratch.write(assign_ordinals(latest, dictionary), "ordinals")
     blocks = scratch.write(encode_snapshots(latest, ordinals, {c: F.col(c) for c in names}), "blocks")
     numbers = blocks.select("snap_no").distinct()  # one row per snapshot
@@ -142,7 +152,66 @@ def snapshot_changes(snapshots: DataFrame, compared: dict[str, Column], dictiona
     return diff_blocks(blocks, following).join(ordinals, "ordinal").select("snap_no", "volume_id", "full_path", "change")
 
 
-def file_snapshot_changes(spark, sf_dir: str) -> DataFrame:
+def _latest(snapshots: DataFrame, compared: dict[str, Column]) -> DataFrame:
+    """The reading of each key that holds within its snapshot."""
+    best = F.max(F.struct(F.col("seq"), *(c.cast("bigint").alias(name) for name, c in compared.items()))).alias("_best")
+    read = snapshots.where("snap_no is not null and volume_id is not null and full_path is not null").groupBy("snap_no", *_KEY).agg(best)
+    return read.select(F.col("snap_no").cast("int").alias("snap_no"), F.col("volume_id").cast("bigint").alias("volume_id"), "full_path", *(F.col(f"_best.{c}").alias(c) for c in compared))
+
+
+class SnapshotStore:
+    """Dictionary and encoded snapshots of one table, kept in the folder ``path``.
+
+    ``add`` takes in later snapshots, in the columns of ``snapshot_changes``,
+    and gives what changed in them.  It reads the dictionary and the blocks of
+    the last snapshot, but no earlier row.  A snapshot that is not later than
+    the last one is refused, as its successors were compared already.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.tables = Scratch(spark, "snapshots", self.path)
+        listed = read_text(spark, f"{self.path}/snapshots.json")
+        self.list = json.loads(listed) if listed else {"last": None, "dictionary": [], "blocks": []}
+
+    def dictionary(self) -> DataFrame | None:
+        parts = [f"{self.path}/{name}" for name in self.list["dictionary"]]
+        return self.spark.read.schema(_ORDINALS).parquet(*parts) if parts else None
+
+    def add(self, snapshots: DataFrame, compared: dict[str, Column]) -> DataFrame:
+        """Rows (snap_no, volume_id, full_path, change) of the new snapshots."""
+        scratch = Scratch(self.spark, "snapshots")
+        latest = scratch.write(_latest(snapshots, compared), "latest", first=F.min("snap_no"))
+        if not scratch.rows["latest"]:
+            return self.spark.createDataFrame([], "snap_no int, volume_id bigint, full_path string, change string")
+        last = self.list["last"]
+        if last is not None and scratch.rows["latest.first"] <= last:
+            raise ValueError(f"snapshot {scratch.rows['latest.first']} is not later than {last}")
+        keys, encoded = f"keys-{uuid.uuid4().hex}", f"blocks-{uuid.uuid4().hex}"
+        self.tables.write(new_ordinals(latest, self.dictionary()), keys)
+        self.list["dictionary"].append(keys)
+        ordinals = self.dictionary()
+        blocks = self.tables.write(encode_snapshots(latest, ordinals, {c: F.col(c) for c in compared}), encoded)
+        numbers = sorted(r["snap_no"] for r in blocks.select("snap_no").distinct().collect())  # one row per snapshot
+        before = [self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/{self.list['blocks'][-1]}").where(F.col("snap_no") == last)] if last is not None else []
+        every = reduce(DataFrame.unionByName, before, blocks)
+        pairs = list(zip(([last] if last is not None else []) + numbers, numbers if last is not None else numbers[1:], strict=False))
+        self.list["blocks"].append(encoded)
+        self.list["last"] = numbers[-1]
+        write_text(self.spark, f"{self.path}/snapshots.json", json.dumps(self.list))
+        following = self.spark.createDataFrame(pairs, "prev_no int, snap_no int")
+        return diff_blocks(every, following).join(ordinals, "ordinal").select("snap_no", "volume_id", "full_path", "change")
+
+
+def compared_fields() -> dict[str, Column]:
+    """What makes a file of ``file_snapshot`` count as changed."""
+    return {"size_logical": F.col("size_logical"), "last_write_us": F.unix_micros("last_write_time")}
+
+
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "file_snapshot").select("snap_no", "volume_id", "full_path", "seq", "size_logical", "last_write_time")
+
+
+def file_snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added, removed and changed files of ``file_snapshot``."""
-    rows = table(spark, sf_dir, "file_snapshot").select("snap_no", "volume_id", "full_path", "seq", "size_logical", "last_write_time")
-    return snapshot_changes(rows, {"size_logical": F.col("size_logical"), "last_write_us": F.unix_micros("last_write_time")})
+    return snapshot_changes(snapshot_rows(spark, sf_dir), compared_fields())

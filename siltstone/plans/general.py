@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.hierarchy import ancestors, current_rows, descendants, hierarchy
-from siltstone.operators.snapshots import file_snapshot_changes
+from siltstone.operators.snapshots import SnapshotStore, compared_fields, file_snapshot_changes, snapshot_rows
 from siltstone.operators.timestamps import normalise_stamps, read_stamps
-from siltstone.runtime import table
+from siltstone.runtime import Scratch, table
 
 
 def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_snapshot_changes(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_paths, p3_descendants, p3_ancestors, p6_found)}
+def p6_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p6_found from as many runs as there are snapshots, each of which
+    opens the folder of ordinals and blocks that the one before left."""
+    rows = snapshot_rows(spark, sf_dir)
+    path = f"{Scratch(spark, 'kept').root}/snapshots"
+    numbers = sorted(r["snap_no"] for r in rows.select("snap_no").where("snap_no is not null").distinct().collect())
+    return reduce(DataFrame.unionByName, (SnapshotStore(spark, path).add(rows.where(F.col("snap_no") == n), compared_fields()) for n in numbers))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p3_found, p3_paths, p3_descendants, p3_ancestors, p6_found, p6_resumed)}
 
 _TREES = """
 WITH RECURSIVE node AS (
@@ -127,3 +138,4 @@ FROM old o FULL JOIN new w ON o.snap_no = w.snap_no AND o.volume_id = w.volume_i
 WHERE o.full_path IS NULL OR w.full_path IS NULL OR o.v.s IS DISTINCT FROM w.v.s OR o.v.t IS DISTINCT FROM w.v.t
 """,
 }
+SQL["p6_resumed"] = SQL["p6_found"]

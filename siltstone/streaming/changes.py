@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siltstone.operators.catalog import latest
 from siltstone.operators.stats import bucket
+from siltstone.operators.store import CatalogStore
 from siltstone.runtime import Scratch
 
 
@@ -44,26 +48,41 @@ def distinct_events(events: DataFrame, time: str, late: str, *keys: str) -> Data
 
 
 def into_catalog(changes: DataFrame, catalog_path: str, checkpoint: str, columns: list[str], **trigger) -> StreamingQuery:
-    """Fold change rows (volume_id, file_id, seq, deleted, columns) into a catalog.
-
-    Each batch is compared with the catalog and written as its next version, a
-    folder named by the batch, so that a batch that is run again changes nothing.
-    """
+    """Fold change rows (volume_id, file_id, seq, deleted, columns) into the
+    ``CatalogStore`` of a folder.  A batch costs what it holds, not what the
+    catalog does, and a batch that is run again changes nothing.  By default all
+    that is there is read; ``processingTime="1 minute"`` goes on for ever."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = _version(spark, catalog_path, number - 1)
-        rows = batch if before is None else before.unionByName(batch.select(*before.columns))
-        latest(rows, [*columns, "seq"]).write.mode("overwrite").parquet(f"{catalog_path}/v{number}")
+        CatalogStore(batch.sparkSession, catalog_path, columns).add(batch, number)
 
     kept = changes.select("volume_id", "file_id", "seq", "deleted", *columns)
     return kept.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    if number < 0:
-        return None
-    return spark.read.parquet(f"{path}/v{number}")
+def ring_percentiles(events: DataFrame, key: str, value: str, size: int, percents: tuple[float, ...] = (50.0, 95.0, 99.0)) -> DataFrame:
+    """(key, n, percent, value) of the last ``size`` values of each key of a feed,
+    in order of arrival: a ring buffer of bounded size is the state of a key.
+    The value at index min(floor(p / 100 * n), n - 1) of the sorted buffer."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def turn(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ring = list(state.get[0]) if state.exists else []
+        for batch in batches:
+            ring = (ring + batch[value].dropna().astype(float).tolist())[-size:]
+        state.update((ring,))
+        inside = sorted(ring)
+        rows = [(name[0], len(inside), p, inside[min(int(p / 100 * len(inside)), len(inside) - 1)]) for p in percents] if inside else []
+        yield pd.DataFrame(rows, columns=[key, "n", "percent", "value"])
+
+    out = f"{key} {kind}, n long, percent double, value double"
+    return events.select(key, value).groupBy(key).applyInPandasWithState(turn, out, "ring array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def append_snapshots(feed: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append the rows of a feed of snapshot summaries to a series in ``path``; what is
+    there is never changed, and a batch that is run again is not appended twice."""
+    return feed.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def run_to_end(stream: DataFrame, label: str, mode: str = "complete") -> DataFrame:

@@ -12,6 +12,7 @@ from siltstone.operators import catalog as C
 from siltstone.operators import cluster as K
 from siltstone.operators import layout as Y
 from siltstone.operators import stats as S
+from siltstone.operators.store import CatalogStore
 from siltstone.plans import catalog as P
 from siltstone.runtime import lookup_join
 from siltstone.sources import sinks
@@ -169,14 +170,55 @@ def test_written_tables_read_back(spark, tmp_path, style):
 
 def test_feed_into_catalog(spark, tmp_path):
     schema = "volume_id long, file_id long, seq long, deleted boolean, size_logical long"
-    feed, catalog = str(tmp_path / "feed"), str(tmp_path / "catalog")
-    steps = [[(1, 1, 1, False, 5), (1, 2, 2, False, 6)], [(1, 1, 3, True, 5), (1, 3, 4, False, 7)], [(1, 3, 5, False, 8)]]
-    for k, rows in enumerate(steps):
+    feed, catalog = str(tmp_path / "feed"), f"file://{tmp_path}/catalog"
+    steps = [[(1, 1, 1, False, 5), (1, 2, 2, False, 6), (1, None, 9, False, 1)], [(1, 1, 3, True, 5), (1, 3, 4, False, 7)], [(1, 3, 5, False, 8), (1, 1, 2, False, 9)]]
+    for rows in steps:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
         stream = changes.read_changes(spark, feed, spark.createDataFrame([], schema).schema)
         changes.into_catalog(stream, catalog, str(tmp_path / "check"), ["size_logical"]).awaitTermination()
-        last = spark.read.parquet(f"{catalog}/v{k}")
-    assert {(r.file_id, r.size_logical) for r in last.where("not deleted").collect()} == {(2, 6), (3, 8)}
+    store = CatalogStore(spark, catalog)
+    assert {(r.file_id, r.size_logical) for r in store.rows().collect()} == {(2, 6), (3, 8)}
+    store.add(spark.createDataFrame([(1, 2, 99, True, 0)], schema), 2)  # a batch that was taken in before
+    assert [r.size_logical for r in store.get(1, 2).collect()] == [6]
+
+
+def test_a_batch_costs_what_it_holds(spark, tmp_path):
+    path = f"file://{tmp_path}/catalog"
+    store = CatalogStore(spark, path, ["size_logical"])
+    rows = lambda a, b, seq: spark.range(a, b).selectExpr("id % 7 AS volume_id", "id AS file_id", f"{seq}L AS seq", "false AS deleted", f"id * {seq} AS size_logical")
+    store.add(rows(0, 1000, 1))
+    base = store.list["base"]
+    for k in range(3):
+        store = CatalogStore(spark, path)
+        store.add(rows(k * 10, k * 10 + 10, 2))
+        assert store.list["base"] == base and store.list["deltas"][-1][1] == 10
+    assert store.rows().agg({"size_logical": "sum"}).first()[0] == sum(range(1000)) + sum(range(30))
+    store.fold()
+    assert store.list["deltas"] == [] and store.list["base_rows"] == 1000 and CatalogStore(spark, path).rows().count() == 1000
+    assert "PushedFilters: [IsNotNull(volume_id), IsNotNull(file_id), EqualTo(volume_id,5), EqualTo(file_id,12)]" in store.get(5, 12)._jdf.queryExecution().toString()
+
+
+def test_ring_percentiles_keep_the_last_values(spark, tmp_path):
+    schema = "k string, v double"
+    for at in (0, 50):
+        spark.createDataFrame([("a", float(v)) for v in range(at, at + 50)] + [("b", None), ("b", 7.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+        stream = changes.read_changes(spark, str(tmp_path / "f"), spark.createDataFrame([], schema).schema)
+        rings = changes.ring_percentiles(stream, "k", "v", 20)
+        got: list = []
+        query = rings.writeStream.outputMode("update").foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert {(r.n, r.percent, r.value) for r in got if r.k == "a"} == {(20, 50.0, at + 40.0), (20, 95.0, at + 49.0), (20, 99.0, at + 49.0)}
+    assert {r.n for r in got if r.k == "b"} == {2}
+
+
+def test_snapshot_series_is_appended(spark, tmp_path):
+    from siltstone.sources.files import SNAPSHOT
+
+    for n in (1, 2):
+        spark.createDataFrame([(None, f"/v{n}", n, n, 0, 0, 0, 0)], SNAPSHOT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = changes.read_changes(spark, str(tmp_path / "in"), spark.createDataFrame([], SNAPSHOT).schema)
+        changes.append_snapshots(stream, str(tmp_path / "series"), str(tmp_path / "check")).awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "series")).count() == n
 
 
 def test_late_rows_of_a_stream_match_the_batch(spark, tmp_path):

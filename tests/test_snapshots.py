@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from siltstone.operators.snapshots import assign_ordinals, snapshot_changes
+from siltstone.operators.snapshots import SnapshotStore, assign_ordinals, snapshot_changes
 
 ROWS = "snap_no int, volume_id long, full_path string, seq long, size long, time long"
 
@@ -80,3 +82,18 @@ def test_an_ordinal_of_zero_is_not_given_again(spark):
     first = assign_ordinals(spark.createDataFrame([(1, "/a")], key))
     both = assign_ordinals(spark.createDataFrame([(1, "/a"), (1, "/b")], key), first)
     assert sorted((r.full_path, r.ordinal) for r in both.collect()) == [("/a", 0), ("/b", 1)]
+
+
+def test_store_goes_on_where_the_last_run_ended(spark, tmp_path):
+    schema = "snap_no int, volume_id long, full_path string, seq long, size long"
+    rows = [(1, 1, "/a", 1, 5), (1, 1, "/b", 1, None), (2, 1, "/a", 1, 6), (2, 1, "/c", 1, 7), (3, 1, "/a", 1, 6), (3, 1, "/b", 1, None), (5, 1, "/b", 2, 1), (5, 1, "/b", 1, None)]
+    compared = {"size": F.col("size")}
+    every = sorted(map(tuple, snapshot_changes(spark.createDataFrame(rows, schema), compared).collect()))
+    got, path = [], f"file://{tmp_path}/store"
+    for part in ([1], [2, 3], [4], [5]):
+        some = [r for r in rows if r[0] in part]
+        got += map(tuple, SnapshotStore(spark, path).add(spark.createDataFrame(some, schema), compared).collect())
+    assert sorted(got) == every and len(every) == 7
+    assert sorted((r.full_path, r.ordinal) for r in SnapshotStore(spark, path).dictionary().collect()) == [("/a", 0), ("/b", 1), ("/c", 2)]
+    with pytest.raises(ValueError):
+        SnapshotStore(spark, path).add(spark.createDataFrame(rows[:2], schema), compared)
