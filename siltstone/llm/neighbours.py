@@ -1,25 +1,36 @@
 """The most similar bit vectors of every vector, by pruned search graphs.
 
-Vectors meet in shards that agree on one of 13 blocks of their bits: two that
-differ in at most 12 bits agree on a whole block somewhere, so no link falls
-between shards.  In each shard a directed graph is built: greedy searches
-propose neighbours, robust pruning keeps the near ones that no kept neighbour
-is much nearer to, and their edges are also laid back.  A beam search then
-takes every vector of the shard through the graph.  A beam that comes back
-full of links is no proof that there are no more, so that vector is compared
-with its whole shard; every reported distance is exact.
+In each shard of vectors a directed graph is built: greedy searches propose
+neighbours, robust pruning keeps the near ones that no kept neighbour is much
+nearer to, and their edges are also laid back.  A beam search then takes
+vectors through the graph.
+
+``similar_vectors`` links all vectors within RADIUS bits.  Vectors meet in
+shards that agree on t of 12 + t blocks of their bits: two that differ in at
+most 12 bits agree on t whole blocks somewhere, so no link falls between
+shards.  With t = 1 a vector is in 13 shards; t grows with the number of
+vectors, so that shards stay small and copies do not grow with it (91 for up to
+8 * 10^9).  A beam that comes back full of links is no proof that there are
+no more, so those vectors are compared, many at once, with their whole shard.
+
+``nearest_of`` finds the k nearest of a stated set of queries, however far they
+are: the graphs of hashed shards are built once over all vectors and every
+query is searched in each.
+
+Every reported distance is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.runtime import Scratch
+from siltstone.runtime import Scratch, maybe_broadcast
 
 #: Bits of a vector, and the most in which linked vectors differ.
 BITS = 128
@@ -35,6 +46,11 @@ ALPHA = 1.2
 SHARD_ROWS = 32_768
 #: Vectors handled together in a task, of one or many shards.
 TASK_ROWS = 40_000
+#: Distances worked out at once where vectors are compared with a whole shard.
+COMPARED = 2_000_000
+#: Queries taken at a time, out-edges and beam of the graphs that they search.
+QUERIES = 50_000
+WIDE_DEGREE, WIDE_BEAM = 32, 256
 
 _FULL = np.int64(2**62)
 
@@ -83,16 +99,16 @@ def search(vectors: np.ndarray, graph: np.ndarray, asked: np.ndarray, start: np.
     return beams
 
 
-def prune(vectors: np.ndarray, own: np.ndarray, nodes: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Out-edges [rows, DEGREE] from candidates, nearest first (-1: none).
+def prune(vectors: np.ndarray, own: np.ndarray, nodes: np.ndarray, far: np.ndarray, degree: int = DEGREE) -> np.ndarray:
+    """Out-edges [rows, degree] from candidates, nearest first (-1: none).
 
     Robust pruning: the nearest candidate stays, those that it is nearer to by
     ALPHA than the node itself go, and so on.
     """
     alive = (nodes >= 0) & (nodes != own[:, None])
-    out = np.full((len(own), DEGREE), -1, dtype=np.int64)
+    out = np.full((len(own), degree), -1, dtype=np.int64)
     rows = np.arange(len(own))
-    for k in range(DEGREE):
+    for k in range(degree):
         any_left = alive.any(axis=1)
         if not any_left.any():
             break
@@ -110,33 +126,33 @@ def _unpacked(beams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(full, -1, beams >> 1 & (2**32 - 1)), np.where(full, 10**6, beams >> 33)
 
 
-def build(vectors: np.ndarray, first: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Graph [rows, DEGREE] over vectors that lie sorted by shard: ``first`` and
+def build(vectors: np.ndarray, first: np.ndarray, count: np.ndarray, rng: np.random.Generator, degree: int = DEGREE, beam: int = BUILD_BEAM) -> np.ndarray:
+    """Graph [rows, degree] over vectors that lie sorted by shard: ``first`` and
     ``count`` of each vector's shard."""
     n = len(vectors)
     own = np.arange(n)
     # To begin with, the next ones in order of bits and some at random.
     near = own[:, None] + np.array([-3, -2, -1, 1, 2, 3])
     near = np.where((near >= first[:, None]) & (near < (first + count)[:, None]), near, -1)
-    far = first[:, None] + (rng.random((n, DEGREE - 6)) * count[:, None]).astype(np.int64)
+    far = first[:, None] + (rng.random((n, degree - 6)) * count[:, None]).astype(np.int64)
     graph = np.concatenate([near, np.where(far == own[:, None], -1, far)], axis=1)
-    nodes, dist = _unpacked(search(vectors, graph, vectors, graph, BUILD_BEAM + 1))
-    graph = prune(vectors, own, nodes, dist)
-    # Edges are laid back: of each node's incoming edges the nearest DEGREE compete with its own.
+    nodes, dist = _unpacked(search(vectors, graph, vectors, graph, beam + 1))
+    graph = prune(vectors, own, nodes, dist, degree)
+    # Edges are laid back: of each node's incoming edges the nearest ones compete with its own.
     ends = graph.ravel()
-    sources = np.repeat(own, DEGREE)[ends >= 0]
+    sources = np.repeat(own, degree)[ends >= 0]
     ends = ends[ends >= 0]
     length = distance(vectors[sources], vectors[ends])
     order = np.lexsort((length, ends))
     sources, ends = sources[order], ends[order]
     starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.zeros(0, dtype=np.int64)
     rank = np.arange(len(ends)) - np.repeat(starts, np.diff(np.r_[starts, len(ends)]))
-    back = np.full((n, DEGREE), -1, dtype=np.int64)
-    few = rank < DEGREE
+    back = np.full((n, degree), -1, dtype=np.int64)
+    few = rank < degree
     back[ends[few], rank[few]] = sources[few]
-    beams = _merge(_entries(vectors, vectors, graph), _entries(vectors, vectors, back), 2 * DEGREE)
+    beams = _merge(_entries(vectors, vectors, graph), _entries(vectors, vectors, back), 2 * degree)
     nodes, dist = _unpacked(beams)
-    return prune(vectors, own, nodes, dist)
+    return prune(vectors, own, nodes, dist, degree)
 
 
 def shard_links(shard: np.ndarray, vectors: np.ndarray, member: np.ndarray, radius: int = RADIUS, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,21 +178,37 @@ def shard_links(shard: np.ndarray, vectors: np.ndarray, member: np.ndarray, radi
     near = (dist <= radius) & (nodes >= 0) & (nodes != own[:, None])
     row, at = np.nonzero(near)
     a, b, d = [row], [nodes[row, at]], [dist[row, at]]
-    # A full beam may have left some out.
-    for i in np.flatnonzero((dist <= radius).all(axis=1)):
-        low, size = starts[begin[i]], sizes[begin[i]]
-        every = distance(inside[low : low + size], vectors[i])
-        found = low + np.flatnonzero(every <= radius)
-        found = found[found != own[i]]
-        a.append(np.full(len(found), i))
-        b.append(found)
-        d.append(every[found - low])
+    # A full beam may have left some out: those are compared with their shard, many at once.
+    full = np.flatnonzero((dist <= radius).all(axis=1))
+    at = 0
+    while at < len(full):
+        low, size = starts[begin[full[at]]], sizes[begin[full[at]]]
+        same = int(np.searchsorted(begin[full], begin[full[at]], "right"))
+        some = full[at : min(same, at + max(1, COMPARED // size))]
+        every = distance(inside[None, low : low + size], vectors[some][:, None])
+        i, j = np.nonzero(every <= radius)
+        other = low + j
+        keep = other != own[some[i]]
+        a.append(some[i][keep])
+        b.append(other[keep])
+        d.append(every[i, j][keep])
+        at += len(some)
     return np.concatenate(a), place[np.concatenate(b)], np.concatenate(d)
 
 
-def _edges() -> np.ndarray:
-    """First bits of the blocks; one more block than bits may differ."""
-    return np.linspace(0, BITS, RADIUS + 2).astype(int)
+def _edges(agree: int) -> np.ndarray:
+    """First bits of the blocks, of which ``agree`` must be alike."""
+    return np.linspace(0, BITS, RADIUS + agree + 1).astype(int)
+
+
+def blocks_that_agree(vectors: int) -> int:
+    """Blocks on which the vectors of a shard agree, so that shards of evenly spread
+    vectors stay below SHARD_ROWS.  Each further one multiplies the copies by
+    some 6 and the shards by some 500."""
+    agree = 1
+    while vectors >> int(BITS / (RADIUS + agree) * agree) > SHARD_ROWS and agree < 4:
+        agree += 1
+    return agree
 
 
 def _bits(vectors: np.ndarray) -> np.ndarray:
@@ -187,35 +219,53 @@ def _halves(hi: pa.ChunkedArray, lo: pa.ChunkedArray) -> np.ndarray:
     return np.stack([hi.to_numpy(), lo.to_numpy()], axis=1).view(np.uint64)
 
 
-def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each vector once for every block: (shard, id, hi, lo)."""
-    edges = _edges()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-        bits = _bits(vectors).astype(np.int64)
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            shard = k << 16 | bits[:, low:high] @ (1 << np.arange(high - low)[::-1])
+def _assign(agree: int):
+    """Each vector once for every choice of blocks: (shard, id, hi, lo)."""
+    edges = _edges(agree)
+    places = np.arange(BITS)
+    chosen = [np.concatenate([places[edges[k] : edges[k + 1]] for k in some]) for some in combinations(range(RADIUS + agree), agree)]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            bits = _bits(vectors).astype(np.int64)
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
             halves = vectors.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(ids), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["shard", "id", "hi", "lo"])
+            for k, some in enumerate(chosen):
+                shard = k << 50 | bits[:, some] @ (1 << np.arange(len(some))[::-1])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["shard", "id", "hi", "lo"])
 
+    return assign
 
-def _link(table: pa.Table) -> pa.Table:
+
+def _link(agree: int):
     """Links of the shards of one task."""
-    vectors = _halves(table["hi"], table["lo"])
-    shard = table["shard"].to_numpy().astype(np.int64) << 32 | table["part"].to_numpy()
-    # Within a shard vectors go by the bits that follow its block.
-    turn = _edges()[(table["shard"].to_numpy() >> 16) + 1] % BITS
-    rolled = np.where(turn < 64, vectors[:, 0], vectors[:, 1]) << (turn % 64).astype(np.uint64)
-    ids = table["id"].to_numpy()
-    order = np.lexsort((ids, rolled, shard))
-    a, b, d = shard_links(shard[order], vectors[order], table["member"].to_numpy(zero_copy_only=False)[order].astype(bool))
-    ids = ids[order]
-    pairs = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), d], axis=1), axis=0) if len(a) else np.zeros((0, 3), dtype=np.int64)
-    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "distance": pa.array(pairs[:, 2].astype(np.int32))})
+    edges = _edges(agree)
+    after = np.array([edges[some[0] + 1] % BITS for some in combinations(range(RADIUS + agree), agree)])
+
+    def link(table: pa.Table) -> pa.Table:
+        vectors = _halves(table["hi"], table["lo"])
+        named, part = table["shard"].to_numpy(), table["part"].to_numpy()
+        shard = np.unique(np.stack([named, part], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        # Within a shard vectors go by the bits that follow its first block.
+        turn = after[named >> 50]
+        rolled = np.where(turn < 64, vectors[:, 0], vectors[:, 1]) << (turn % 64).astype(np.uint64)
+        ids = table["id"].to_numpy()
+        order = np.lexsort((ids, rolled, shard))
+        a, b, d = shard_links(shard[order], vectors[order], table["member"].to_numpy(zero_copy_only=False)[order].astype(bool))
+        ids = ids[order]
+        pairs = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), d], axis=1), axis=0) if len(a) else np.zeros((0, 3), dtype=np.int64)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "distance": pa.array(pairs[:, 2].astype(np.int32))})
+
+    return link
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    zero = F.unhex(F.lit("00" * (BITS // 8)))
+    return rows.select(F.col("id").cast("bigint").alias("id"), "vector").where((F.octet_length("vector") == BITS // 8) & (F.col("vector") != zero) & F.col("id").isNotNull())
 
 
 def similar_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -228,25 +278,137 @@ def similar_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     further columns are ignored; an empty table gives empty results.
     """
     scratch = Scratch(rows.sparkSession, "vectors")
-    zero = F.unhex(F.lit("00" * (BITS // 8)))
-    valid = rows.select(F.col("id").cast("bigint").alias("id"), "vector").where((F.octet_length("vector") == BITS // 8) & (F.col("vector") != zero) & F.col("id").isNotNull())
-    valid = scratch.write(valid.distinct(), "valid")
+    valid = scratch.write(_valid(rows).distinct(), "valid")
     heads = valid.groupBy("vector").agg(F.min("id").alias("id"))
-    assigned = scratch.write(heads.mapInArrow(_assign, "shard int, id bigint, hi bigint, lo bigint"), "assigned")
-    # At most 13 * 1024 shards exist; those that are too large are cut.
+    agree = blocks_that_agree(scratch.rows["valid"])
+    assigned = scratch.write(heads.mapInArrow(_assign(agree), "shard bigint, id bigint, hi bigint, lo bigint"), "assigned")
+    # Common bit patterns make shards that are too large: those are cut.
     large = assigned.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS).select("shard", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"))
-    cut = assigned.join(F.broadcast(large), "shard", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    # At most one shard in SHARD_ROWS assigned rows is.
+    cut = assigned.join(maybe_broadcast(large, scratch.rows["assigned"] // SHARD_ROWS), "shard", "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     cut = cut.withColumn("member", F.col("part") == F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
     tasks = max(1, -(-scratch.rows["assigned"] // TASK_ROWS))
     links = (
         cut.select(F.pmod(F.xxhash64("shard", "part"), F.lit(tasks)).alias("task"), "shard", "part", "id", "hi", "lo", "member")
         .groupBy("task")
-        .applyInArrow(_link, "a bigint, b bigint, distance int")
+        .applyInArrow(_link(agree), "a bigint, b bigint, distance int")
     )
     links = scratch.write(links.distinct(), "links")
     return links, valid.join(heads.withColumnRenamed("id", "class_id"), "vector").select("id", "class_id")
 
 
+def _index(table: pa.Table) -> pa.Table:
+    """The graph of one shard, in one row of blobs."""
+    ids = table["id"].to_numpy()
+    vectors = np.frombuffer(b"".join(table["vector"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+    order = np.lexsort((ids, vectors[:, 1], vectors[:, 0]))
+    ids, vectors = ids[order], vectors[order]
+    n = len(ids)
+    graph = build(vectors, np.zeros(n, np.int64), np.full(n, n), np.random.default_rng(7), WIDE_DEGREE, WIDE_DEGREE)
+    blob = lambda x: pa.array([x.tobytes()], pa.binary())
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "ids": blob(ids.astype("<i8")), "vectors": blob(vectors.astype("<u8")), "graph": blob(graph.astype("<i4"))})
+
+
+def _search_shards(queries, k: int):
+    """The ``k`` best of each shard for all of a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = queries.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, vectors = np.frombuffer(r["ids"], dtype="<i8"), np.frombuffer(r["vectors"], dtype="<u8").reshape(-1, 2)
+                graph = np.frombuffer(r["graph"], dtype="<i4").reshape(len(ids), -1).astype(np.int64)
+                rng = np.random.default_rng(len(ids))
+                for at in range(0, len(names), 2_000):
+                    some = asked[at : at + 2_000]
+                    start = (rng.random((len(some), 16)) * len(ids)).astype(np.int64)
+                    nodes, dist = _unpacked(search(vectors, graph, some, start, WIDE_BEAM))
+                    nodes, dist = nodes[:, : k + 1], dist[:, : k + 1]  # one may be the query itself
+                    row, place = np.nonzero(nodes >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 2_000][row]), pa.array(ids[nodes[row, place]]), pa.array(dist[row, place].astype(np.int32))], names=["query_id", "id", "distance"])
+
+    return run
+
+
+def nearest_of(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank_no, id, distance): the ``k`` different vectors nearest to each
+    query, whatever their distance, that beam searches find; ties by id.
+
+    ``rows`` and ``queries``: id BIGINT, vector BINARY of 16 bytes.  Every row is
+    indexed, equal vectors once by their smallest id; a query's own vector is
+    left out.  Null, all-zero and otherwise long vectors and null ids take no
+    part; repeated rows count once; an empty table gives an empty result.
+    """
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "nearest")
+    heads = scratch.write(_valid(rows).groupBy("vector").agg(F.min("id").alias("id")), "heads")
+    shards = max(1, -(-scratch.rows["heads"] // SHARD_ROWS))
+    placed = heads.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)))
+    index = scratch.write(placed.groupBy("shard").applyInArrow(_index, "shard bigint, ids binary, vectors binary, graph binary"), "index")
+    # A query stands for all that have its vector.
+    asked = scratch.write(_valid(queries).distinct().join(heads.withColumnRenamed("id", "_own"), "vector", "left"), "asked")
+    blocks = max(1, -(-scratch.rows["asked"] // QUERIES))
+    found = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").toPandas()  # a block of the stated queries
+        if not len(part):
+            continue
+        vectors = np.frombuffer(b"".join(map(bytes, part["vector"])), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        shared = spark.sparkContext.broadcast((part["id"].to_numpy(dtype=np.int64), vectors))
+        one = index.mapInArrow(_search_shards(shared, k), "query_id bigint, id bigint, distance int")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id bigint, rank_no int, id bigint, distance int")
+    own = asked.select(F.col("id").alias("query_id"), "_own")
+    others = found.join(maybe_broadcast(own, scratch.rows["asked"]), "query_id").where(~F.col("id").eqNullSafe(F.col("_own")))
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    ranked = others.distinct().withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k)
+    return ranked.select("query_id", "rank_no", "id", "distance")
+
+
+def _distances_of(queries, k: int):
+    """The ``k`` least distances, by brute force, of each query to a batch of vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = queries.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            for at in range(0, len(names), step := max(1, COMPARED // len(vectors))):
+                far = distance(vectors[None], asked[at : at + step, None])
+                far[far == 0] = BITS + 1  # the query's own vector
+                least = np.sort(np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, :k], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + step], least.shape[1])), pa.array(least.ravel().astype(np.int32))], names=["query_id", "distance"])
+
+    return run
+
+
+def recall(rows: DataFrame, queries: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
+    """(queries, recall) of what ``nearest_of`` found: the share of the ``k`` nearest
+    that are as near as those of brute force.  Queries go in blocks against all rows."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "recall")
+    heads = scratch.write(_valid(rows).groupBy("vector").agg(F.min("id").alias("id")), "heads")
+    asked = scratch.write(_valid(queries).distinct(), "asked")
+    blocks = max(1, -(-scratch.rows["asked"] // QUERIES))
+    truth = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()  # a block of the stated queries
+        if not len(part):
+            continue
+        vectors = np.frombuffer(b"".join(map(bytes, part["vector"])), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        shared = spark.sparkContext.broadcast((part["id"].to_numpy(dtype=np.int64), vectors))
+        one = heads.select("vector").mapInArrow(_distances_of(shared, k), "query_id bigint, distance int")
+        truth = one if truth is None else truth.unionByName(one)
+    if truth is None:
+        return spark.createDataFrame([(0, None)], "queries bigint, recall double")
+    order = Window.partitionBy("query_id").orderBy("distance")
+    kth = truth.where(F.col("distance") <= BITS).withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.max("distance").alias("kth"))
+    near = kth.join(found, "query_id", "left").groupBy("query_id", "wanted").agg(F.count_if(F.col("distance") <= F.col("kth")).alias("hits"))
+    return near.agg(F.count(F.lit(1)).alias("queries"), (F.sum(F.least("hits", "wanted")) / F.sum("wanted")).alias("recall"))
+
+
 def most_similar(links: DataFrame, k: int = 10) -> DataFrame:
     """(id, rank_no, other_id, distance): the ``k`` nearest linked classes of each."""
     both = links.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "distance").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other_id"), "distance"))

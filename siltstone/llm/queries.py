@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.contamination import leaked_items
 from siltstone.llm.history import History, accept_batches, accept_catalog, duplicates_of_history
 from siltstone.llm.language import languages_not_named
-from siltstone.llm.neighbours import expanded_pairs, similar_vectors
+from siltstone.llm.neighbours import expanded_pairs, nearest_of, recall, similar_vectors
 from siltstone.llm.packing import audit, pack_documents, split_documents
 from siltstone.llm.survivor import duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
@@ -44,13 +44,30 @@ def p4_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.unionByName(late)
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = current_rows(table(spark, sf_dir, "file_entry"), ["volume_id", "file_id"], "seq", ["deleted", "perceptual_hash"])
-    rows = files.where("not deleted and perceptual_hash is not null").select(F.col("file_id").alias("id"), F.col("perceptual_hash").alias("vector"))
-    pairs = expanded_pairs(*similar_vectors(rows))
+    return files.where("not deleted and perceptual_hash is not null").select(F.col("file_id").alias("id"), F.col("perceptual_hash").alias("vector"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = expanded_pairs(*similar_vectors(_hashes(spark, sf_dir)))
     return pairs.select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b"))
 
 
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest hashes, however far, of each file whose id is divisible by 100."""
+    rows = Scratch(spark, "hashes").write(_hashes(spark, sf_dir), "rows")
+    return nearest_of(rows, rows.where("id % 100 = 0"), 10)
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of p5_nearest, and whether nine in ten of what it finds is as near as
+    what brute force finds."""
+    rows = Scratch(spark, "hashes").write(_hashes(spark, sf_dir), "rows")
+    asked = rows.where("id % 100 = 0")
+    return recall(rows, asked, nearest_of(rows, asked, 10), 10).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = table(spark, sf_dir, "scan_host")
     return duplicate_group_survivors(table(spark, sf_dir, "duplicate_group"), hosts, hosts.count())
@@ -77,7 +94,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_not_named(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_resumed, p5_found, p7_found, p8_found, p8_audit, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_resumed, p5_found, p5_nearest, p5_recall, p7_found, p8_found, p8_audit, p9_found, p10_found)}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
@@ -117,6 +134,7 @@ SELECT a.file_id AS file_id_a, b.file_id AS file_id_b
 FROM (SELECT * FROM f WHERE hi <> 0 OR lo <> 0) a JOIN (SELECT * FROM f WHERE hi <> 0 OR lo <> 0) b ON a.file_id < b.file_id
 WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12
 """,
+    "p5_recall": f"SELECT count(*) AS queries, true AS enough FROM ({_CURRENT}) WHERE NOT deleted AND file_id % 100 = 0 AND hex(perceptual_hash) <> repeat('0', 32)",
     "p7_found": """
 WITH member AS (
   SELECT DISTINCT group_id, f.file_id AS file_id, h.trust_rank,

@@ -50,9 +50,29 @@ def test_empty_tables(spark):
     assert leaked_items(spark.createDataFrame([(1, OTHER)], DOCS), spark.createDataFrame([], ITEMS)).collect() == []
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(contamination, "BLOCK_ITEMS", 1)
-    assert run(spark, [(1, ITEM), (2, OTHER)]) == {(1, 1), (2, 2)}
+def test_many_items_take_one_pass_and_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "maybe_broadcast", lambda df, *_: df)
+    rng = random.Random(9)
+    items = [(k, filler(rng, 15)) for k in range(300)]
+    docs = [(k, " ".join([filler(rng, 5), t, filler(rng, 5)])) for k, t in items[::3]]
+    assert run(spark, docs, items) == {(k, k) for k in range(0, 300, 3)}
+
+
+def test_items_of_few_words_count_where_they_stand_in_a_row(spark):
+    docs = [(1, "He wrote: Rusty, copper key!"), (2, "a rusty old copper key"), (3, "key copper rusty"), (4, "Schlüssel"), (5, "one two three changed five six seven eight nine ten"), (6, "one two three four five six seven eight nine")]
+    items = [(1, "rusty copper key"), (2, "schlussel"), (3, "one two three four five six seven eight nine ten"), (4, "?!"), (5, "five six seven eight")]
+    assert run(spark, docs, items) == {(1, 1), (2, 4), (3, 5), (3, 6), (5, 5), (5, 6)}
+
+
+def test_long_items_and_texts_cross_boxes(spark):
+    rng = random.Random(11)
+    item = filler(rng, 2_000).split()
+    docs = []
+    for k, start in enumerate((0, 100, 117, 120, 126, 128, 250, 1_000, 1_988)):
+        docs.append((k, " ".join([filler(rng, 118 + k), *item[start : start + 12], filler(rng, 130)])))
+        docs.append((100 + k, " ".join([filler(rng, 120), *item[start : start + 10], filler(rng, 130)])))
+    docs.append((200, " ".join(item)))
+    assert run(spark, docs, [(1, " ".join(item)), (1, OTHER)]) == {(1, k) for k in (*range(9), 200)}
 
 
 def test_change_at_any_word_of_a_passage(spark):

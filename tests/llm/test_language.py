@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from siltstone.llm.language import LANGUAGES, Classifier, codewords, label_documents, label_segments, languages_not_named, named_language, sentences, train
+from siltstone.llm.language import Classifier, codewords, label_documents, label_segments, languages_not_named, named_language, sentences, train
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string"
@@ -18,6 +18,11 @@ TEXT = {
 }
 
 
+LANGUAGES = tuple(TEXT)
+DUTCH = ["De opslagploeg heeft gisteren gemeten hoeveel ruimte de oude foto's innemen omdat de datums niet klopten.", "Wij hebben vandaag nieuwe schijven besteld zodat er volgende week weer genoeg plaats is voor iedereen.",
+         "Het kantoor bewaart alle bestanden nog minstens zeven jaar voordat iemand ze mag weggooien of verplaatsen."]
+
+
 @pytest.fixture(scope="module")
 def real(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
@@ -29,7 +34,7 @@ def model(real):
 
 
 def test_codewords_are_far_apart():
-    code = codewords()
+    code = codewords(7)
     assert min((code[i] != code[j]).sum() for i in range(7) for j in range(i)) >= 9
 
 
@@ -77,6 +82,28 @@ def test_no_usable_labels(spark):
     assert languages_not_named(spark.createDataFrame([(1, TEXT["en"], "??")], DOCS)).collect() == []
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 9, 15])
+def test_codewords_of_any_number_differ(n):
+    code = codewords(n)
+    assert code.shape[0] == n and min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 1
+
+
+def test_a_language_outside_is_undetermined(model):
+    other = [*DUTCH, "Varastointiryhmä mittasi eilen kuinka paljon tilaa vanhat kuvat vievät koska päivämäärät eivät täsmänneet.", "Zespół zmierzył wczoraj ile miejsca zajmują stare zdjęcia ponieważ daty po obu stronach się nie zgadzały."]
+    assert model.languages == LANGUAGES
+    best, confidence, lead = model.decide([sentences_words(t) for t in other])
+    assert (lead == 0).all() and (confidence == 0).all()
+
+
+def test_languages_are_those_that_labels_name(spark, real):
+    rng = np.random.default_rng(3)
+    parts = [w for t in DUTCH for w in sentences_words(t)]
+    dutch = [(-100 - k, " ".join(rng.choice(parts, 14)).capitalize() + ".", "nl") for k in range(150)]
+    rows = dutch + [(-1, DUTCH[0], "en"), (-2, DUTCH[1], "nl-BE"), (-3, TEXT["de"], "nl")]
+    got = languages_not_named(real.unionByName(spark.createDataFrame(rows, DOCS)))
+    assert sorted((r.doc_id, r.lang) for r in got.where("doc_id between -10 and -1").collect()) == [(-3, "de"), (-1, "nl")]
+
+
 def test_labels(spark):
     want = {"en": "en", "EN": "en", "en-GB": "en", "English": "en", "deu": "de", " pt_BR ": "pt", "Español": "es", "xx": None, "": None, "und": None, "unknown": None, None: None}
     got = spark.createDataFrame([(k,) for k in want], "t string").select("t", named_language(F.col("t")).alias("n")).collect()
