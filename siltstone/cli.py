@@ -20,7 +20,7 @@ from siltstone.sources.sinks import FORMATS, write_table
 
 
 def _scan(spark: SparkSession, a) -> DataFrame:
-    return scan(spark, a.source, content=a.content, include_extensions=tuple(a.extension or ()), exclude_names=tuple(a.exclude or ()), min_size=a.min_size)
+    return scan(spark, a.source, content=a.content, attributes=True, include_extensions=tuple(a.extension or ()), exclude_names=tuple(a.exclude or ()), min_size=a.min_size)
 
 
 def _dedupe(spark: SparkSession, a) -> DataFrame:
@@ -36,7 +36,8 @@ def _similar(spark: SparkSession, a) -> DataFrame:
 
 
 def _cleanup(spark: SparkSession, a) -> DataFrame:
-    files = spark.read.parquet(a.source).withColumn("accessed", F.col("modified"))
+    files = spark.read.parquet(a.source)
+    files = files.withColumn("accessed", F.coalesce("accessed", "modified"))
     return residue_plan(files, F.lit(a.as_of).cast("timestamp"), a.days, tuple(a.exclude or ()))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions import lanes
+
 #: Bytes of the head and of the tail that a signature covers.
 EDGE = 16_384
 
@@ -72,33 +74,55 @@ def repeated_blocks(content: pd.Series) -> pd.Series:
 
 
 def _checksum(name: str, kind: T.DataType, compute):
+    """``compute`` gives the values of a list of byte strings."""
+
     @F.pandas_udf(kind)
     def udf(content: pd.Series) -> pd.Series:
-        return content.map(lambda data: None if data is None else compute(data))
+        known = content.notna()
+        out = pd.Series(pd.NA, index=content.index, dtype="Int64")
+        if known.any():
+            out[known] = np.asarray(compute(content[known].tolist()), dtype=np.int64)
+        return out
 
     udf.__name__ = name
     return udf
 
 
-def _fnv1a(data: bytes) -> int:
-    value = 0x811C9DC5
+def _fnv1a_alone(value: int, data: bytes) -> int:
     for byte in data:
         value = (value ^ byte) * 0x01000193 & 0xFFFFFFFF
     return value
 
 
-def _crc16(data: bytes) -> int:
-    value = 0
+def crc16_table() -> np.ndarray:
+    """What each byte does to a remainder."""
+    value = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        value = np.where(value & 1, value >> 1 ^ 0xA001, value >> 1).astype(np.uint32)
+    return value
+
+
+_CRC16 = crc16_table()
+_CRC16_LIST = _CRC16.tolist()
+
+
+def _crc16_alone(value: int, data: bytes) -> int:
     for byte in data:
-        value ^= byte
-        for _ in range(8):
-            value = value >> 1 ^ 0xA001 if value & 1 else value >> 1
+        value = value >> 8 ^ _CRC16_LIST[(value ^ byte) & 0xFF]
     return value
 
 
-adler32 = _checksum("adler32", T.LongType(), zlib.adler32)
-fnv1a = _checksum("fnv1a", T.LongType(), _fnv1a)
-crc16 = _checksum("crc16", T.IntegerType(), _crc16)
+def fnv1a_of(datas: list[bytes]) -> np.ndarray:
+    return lanes.fold(datas, 0x811C9DC5, lambda v, b: (v ^ b) * np.uint32(0x01000193), _fnv1a_alone)
+
+
+def crc16_of(datas: list[bytes]) -> np.ndarray:
+    return lanes.fold(datas, 0, lambda v, b: v >> np.uint32(8) ^ _CRC16[(v ^ b) & np.uint32(0xFF)], _crc16_alone)
+
+
+adler32 = _checksum("adler32", T.LongType(), lambda datas: [zlib.adler32(d) for d in datas])
+fnv1a = _checksum("fnv1a", T.LongType(), fnv1a_of)
+crc16 = _checksum("crc16", T.IntegerType(), crc16_of)
 
 
 def starts_with_hex(content: Column, *heads: str) -> Column:

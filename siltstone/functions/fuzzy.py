@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions import lanes
+
 _ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 #: Characters of a piecewise hash, smallest and largest block size.
 PIECES, LEAST_BLOCK, MOST_BLOCK = 64, 3, 4096
@@ -18,10 +20,9 @@ PIECES, LEAST_BLOCK, MOST_BLOCK = 64, 3, 4096
 
 def _rolling(data: np.ndarray) -> np.ndarray:
     """Rolling value after each byte: three running sums of 32 bits."""
-    value = data.astype(object)
     one = two = three = 0
     out = np.empty(len(data), dtype=np.int64)
-    for i, c in enumerate(value.tolist()):
+    for i, c in enumerate(data.tolist()):
         one = ((one << 4 | one >> 28) + c) & 0xFFFFFFFF
         two = (two + c + one) & 0xFFFFFFFF
         three = ((three << 1) + c) & 0xFFFFFFFF
@@ -29,6 +30,28 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def rolling_of(datas: list[bytes]) -> list[np.ndarray]:
+    """``_rolling`` of many byte strings, side by side."""
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(datas)
+    for numbers, lengths in lanes.groups(datas):
+        if len(numbers) < lanes.FEW:
+            for i in numbers:
+                out[i] = _rolling(np.frombuffer(datas[i], dtype=np.uint8))
+            continue
+        bytes_at = lanes.columns(datas, numbers, lengths).astype(np.uint32)
+        one, two, three = (np.zeros(len(numbers), dtype=np.uint32) for _ in range(3))
+        rolled = np.empty(bytes_at.shape, dtype=np.uint32)
+        # What runs on beyond a string's end is cut off below.
+        for i, c in enumerate(bytes_at):
+            one = (one << np.uint32(4) | one >> np.uint32(28)) + c
+            two = two + c + one
+            three = (three << np.uint32(1)) + c
+            rolled[i] = one + two + three
+        for k, (i, n) in enumerate(zip(numbers, lengths, strict=True)):
+            out[i] = rolled[:n, k].astype(np.int64)
+    return out
+
+
 def _pieces(data: bytes, ends: np.ndarray) -> tuple[str, int]:
     """Characters of the pieces that end before the bytes at ``ends``, and where
     the last piece starts.  A piece's character is its last six bits, which the
@@ -48,12 +71,12 @@ def block_size(length: int) -> int:
     return min(size, MOST_BLOCK)
 
 
-def ssdeep_of(data: bytes) -> str | None:
+def ssdeep_of(data: bytes, rolled: np.ndarray | None = None) -> str | None:
     """``size:one:two``: piecewise hashes at a block size and its double; null of nothing."""
     if not data:
         return None
     size = block_size(len(data))
-    rolled = _rolling(np.frombuffer(data, dtype=np.uint8))
+    rolled = _rolling(np.frombuffer(data, dtype=np.uint8)) if rolled is None else rolled
     first = np.flatnonzero(rolled % size == size - 1)[: PIECES - 1]
     second = np.flatnonzero(rolled % (2 * size) == 2 * size - 1)[: PIECES - 1]
     out = []
@@ -75,7 +98,8 @@ def tlsh_of(data: bytes) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def ssdeep(content: pd.Series) -> pd.Series:
-    return content.map(ssdeep_of)
+    datas = [c or b"" for c in content]
+    return pd.Series([ssdeep_of(d, r) for d, r in zip(datas, rolling_of(datas), strict=True)], index=content.index)
 
 
 @F.pandas_udf(T.StringType())

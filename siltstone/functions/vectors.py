@@ -53,6 +53,11 @@ def log_loss(probability: Column, label: Column) -> Column:
 
 #: File classes.
 FILE_TYPES = ("Unknown", "Executable", "Document", "Image", "Audio", "Video", "Archive", "Database", "Log", "Configuration", "Temporary", "System", "Malware")
+#: Descriptions of the file types, in the same order.
+TYPE_DESCRIPTIONS = (
+    "Unknown file type", "Executable program or script", "Text document or office document", "Image file (JPEG, PNG, etc.)", "Audio file (MP3, WAV, etc.)", "Video file (MP4, AVI, etc.)",
+    "Compressed archive (ZIP, RAR, etc.)", "Database file", "Log file", "Configuration file", "Temporary file", "System file", "Malicious software",
+)
 #: Class number by extension, for training labels.
 LABELS = {"exe": 1, "dll": 1, "txt": 2, "doc": 2, "pdf": 2, "jpg": 3, "png": 3, "gif": 3, "mp3": 4, "wav": 4, "mp4": 5, "avi": 5, "zip": 6, "rar": 6}
 
@@ -61,6 +66,10 @@ def type_name(number: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in enumerate(FILE_TYPES) for x in pair))[number], F.lit("Unknown"))
 
 
+def type_description(number: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in enumerate(TYPE_DESCRIPTIONS) for x in pair))[number], F.lit("Unknown file type"))
+
+
 def label_of(suffix: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[suffix], F.lit(0))
 

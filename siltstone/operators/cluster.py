@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,11 +83,45 @@ def _in_blocks(rows: DataFrame, asked: DataFrame, spread: list[str], search) ->
 
 
 def similar_files(features: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """(target_id, file_id, similarity) of a stated set of targets, taken in blocks,
-    which every task compares with its rows 256 at a time."""
+    """(target_id, file_id, similarity) of a stated set of targets.
+
+    A mean of four likenesses that reaches the threshold leaves none of them far
+    below it: up from 0.775 files must be of one type, and their sizes must lie
+    in the same or the next band.  Only such files meet; files without a size
+    meet all of their type, and files of one path meet whatever else they are.
+    Below that, targets go in blocks through every task.
+    """
     columns = ["file_id", "full_path", "size", "type", "modified_s", "features"]
-    search = lambda rows, asked: _similar(rows, asked, threshold)
-    return _in_blocks(features.select(*columns), targets.select(*columns), ["file_id", "full_path", "size", "modified_s"], search)
+    if threshold <= 0.775:
+        search = lambda rows, asked: _similar(rows, asked, threshold)
+        return _in_blocks(features.select(*columns), targets.select(*columns), ["file_id", "full_path", "size", "modified_s"], search)
+    least = 1 - 4 * (1 - threshold)  # of one likeness, if the other three are 1
+    width = math.log((2 - least) / least) * (1 + 1e-9)
+    band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / width)).otherwise(-1)
+    a = features.select(*columns).withColumn("band", band)
+    b = targets.select(*(F.col(c).alias(f"t_{c}") for c in columns)).withColumn("t_band", F.when(F.col("t_size") > 0, F.floor(F.log(F.col("t_size").cast("double")) / width)).otherwise(-1))
+    around = b.where("t_band >= 0").withColumn("band", F.explode(F.array(F.col("t_band") - 1, F.col("t_band"), F.col("t_band") + 1))).where("band >= 0")
+    met = a.where("band >= 0").join(around, (F.col("type") == F.col("t_type")) & (a["band"] == around["band"])).drop("band", "t_band")
+    sizeless = a.where("band < 0").join(b, F.col("type") == F.col("t_type")).drop("band", "t_band").unionByName(a.where("band >= 0").join(b.where("t_band < 0"), F.col("type") == F.col("t_type")).drop("band", "t_band"))
+    one_path = a.join(b, F.col("full_path") == F.col("t_full_path")).select("t_file_id", "file_id", F.lit(1.0).alias("similarity"))
+    found = met.unionByName(sizeless).where(~F.col("full_path").eqNullSafe(F.col("t_full_path"))).select("t_file_id", "file_id", _similarity().alias("similarity")).where(F.col("similarity") >= threshold)
+    return found.unionByName(one_path).select(F.col("t_file_id").alias("target_id"), "file_id", "similarity")
+
+
+def _similarity() -> Column:
+    """``similarities`` of the two files of a row, as an expression."""
+
+    def like(x: str, more: float = 0.0) -> Column:
+        one, other = F.coalesce(F.col(x), F.lit(0)).cast("double"), F.coalesce(F.col(f"t_{x}"), F.lit(0)).cast("double")
+        return F.when((one > 0) & (other > 0), 1 - F.abs(one - other) / (one + other + more))
+
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    f, g = F.col("features"), F.col("t_features")
+    length = F.greatest(F.sqrt(dot(f, f)), F.lit(1e-300)) * F.greatest(F.sqrt(dot(g, g)), F.lit(1e-300))
+    size, time = like("size"), like("modified_s", 1.0)
+    kind = F.when(F.col("type") == F.col("t_type"), 1.0).otherwise(0.1)
+    known = 2 + size.isNotNull().cast("int") + time.isNotNull().cast("int")
+    return (F.coalesce(size, F.lit(0.0)) + F.coalesce(time, F.lit(0.0)) + kind + dot(f, g) / length) / known
 
 
 def _similar(rows: DataFrame, asked: pd.DataFrame, threshold: float) -> DataFrame:
@@ -193,14 +228,72 @@ def single_linkage(nodes: DataFrame, edges: DataFrame, distance: str, most: floa
     return nodes.select("id").distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def link_to_k(nodes: DataFrame, edges: DataFrame, distance: str, k: int) -> DataFrame:
+    """(id, component): single linkage merged until ``k`` groups are left, or as few
+    as the edges allow.
+
+    Merging by ascending distance is what a minimum spanning forest does: the
+    groups are the components of its edges without the ``k`` - 1 longest, ties
+    by the ends.  The forest comes by rounds in which every component takes its
+    shortest edge; rounds grow with the logarithm of the nodes.  Repeated edges
+    count once.
+    """
+    scratch = Scratch(nodes.sparkSession, "linkage")
+    live = scratch.write(nodes.select("id").dropna().distinct(), "nodes")
+    ends = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(distance).alias("d"))
+    left = scratch.write(ends.select("a", "b", "d", F.col("a").alias("p"), F.col("b").alias("q")), "edges0")
+    forest, r = None, 0
+    while scratch.rows[f"edges{r}"]:
+        both = left.select("p", "d", "a", "b").unionByName(left.select(F.col("q").alias("p"), "d", "a", "b"))
+        best = both.groupBy("p").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*").distinct()
+        r += 1
+        taken = scratch.write(best, f"taken{r}")
+        forest = taken if forest is None else forest.unionByName(taken)
+        parts = scratch.write(connected_components(forest), f"parts{r}")
+        now = left.select("a", "b", "d").join(parts.select(F.col("id").alias("a"), F.col("component").alias("p")), "a", "left").join(parts.select(F.col("id").alias("b"), F.col("component").alias("q")), "b", "left")
+        now = now.select("a", "b", "d", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")).where("p <> q")
+        left = scratch.write(now, f"edges{r}")
+    if forest is None:
+        return live.select("id", F.col("id").alias("component"))
+    # Of n nodes n - k edges make k groups; fewer edges are all taken.
+    longest = max(0, forest.count() - max(0, scratch.rows["nodes"] - k))
+    cut = forest.orderBy(F.col("d").desc(), F.col("a").desc(), F.col("b").desc()).limit(longest)
+    kept = forest.join(cut.select("a", "b"), ["a", "b"], "left_anti") if longest else forest
+    return live.join(connected_components(kept.select("a", "b")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+#: Rows that one task takes through the leader rule at a time.
+SLICE_ROWS = 20_000
+
+
 def leaders(rows: DataFrame, block: str, ident: str, column: str, threshold: float) -> DataFrame:
     """(block, ident, leader): in order of ident each row joins the first leader
-    whose cosine reaches the threshold, else leads itself.  Order matters, so it
-    runs within blocks, which the caller keeps bounded."""
+    whose cosine reaches the threshold, else leads itself.
+
+    Order matters, so the rows of a block are taken in slices of SLICE_ROWS by
+    ident: a slice is first compared, in parallel, with the leaders so far, and
+    only what none of them takes goes through the rule in one task.  Rounds
+    grow with the largest block; a task never holds more than a slice and a
+    batch.  Rows with a null part are left out; repeated rows count once.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[block].dataType.simpleString()
+    scratch = Scratch(spark, "leaders")
+    unit = F.transform(column, lambda v: v.cast("double"))
+    live = rows.select(block, F.col(ident).cast("bigint").alias(ident), unit.alias("_v")).dropna().distinct()
+    ranged = scratch.write(live, "live")
+    if scratch.rows["live"] <= SLICE_ROWS:
+        sliced, slices = ranged.withColumn("slice", F.lit(0)), 1
+    else:
+        # Slices by ranges of ident over all blocks: each holds about SLICE_ROWS rows.
+        parts = -(-scratch.rows["live"] // SLICE_ROWS)
+        cuts = ranged.select(F.percentile_approx(ident, [k / parts for k in range(1, parts)], 10_000)).first()[0]
+        sliced, slices = ranged.withColumn("slice", sum(((F.col(ident) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))), len(set(cuts)) + 1
+        sliced = scratch.write(sliced, "sliced", by="slice")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ident)
-        x = np.stack(pdf[column].map(np.asarray)).astype(np.float64)
+        x = np.stack(pdf["_v"].map(np.asarray)).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         ids, chosen, heads = pdf[ident].to_numpy(), [], []
         for i in range(len(x)):
@@ -211,8 +304,23 @@ def leaders(rows: DataFrame, block: str, ident: str, column: str, threshold: flo
             chosen.append(ids[heads[int(fits[0])] if len(fits) else i])
         return pd.DataFrame({block: pdf[block], ident: ids, "leader": chosen})
 
-    kind = rows.schema[block].dataType.simpleString()
-    return rows.select(block, ident, column).groupBy(block).applyInPandas(run, f"{block} {kind}, {ident} long, leader long")
+    out, heads = None, None
+    for k in range(slices):
+        part = sliced.where(F.col("slice") == k).select(block, ident, "_v") if slices > 1 else sliced.select(block, ident, "_v")
+        if heads is not None:
+            norm = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)), F.lit(1e-30))
+            dot = F.aggregate(F.zip_with("_v", "_h", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+            told = heads.select(block, F.col(ident).alias("leader"), F.col("_v").alias("_h"))
+            taken = part.join(told, block).where(dot / norm(F.col("_v")) / norm(F.col("_h")) >= threshold).groupBy(block, ident).agg(F.min("leader").alias("leader"))
+            taken = scratch.write(taken, f"taken{k}")
+            part = part.join(taken.select(block, ident), [block, ident], "left_anti")
+            out = taken.select(block, ident, "leader") if out is None else out.unionByName(taken.select(block, ident, "leader"))
+        new = scratch.write(part.groupBy(block).applyInPandas(run, f"{block} {kind}, {ident} long, leader long"), f"new{k}")
+        out = new if out is None else out.unionByName(new)
+        if k + 1 < slices:
+            fresh = part.join(new.where(F.col(ident) == F.col("leader")).select(block, ident), [block, ident], "left_semi")
+            heads = scratch.write(fresh if heads is None else heads.unionByName(fresh), f"heads{k}")
+    return out
 
 
 def cluster_cohesion(rows: DataFrame, cluster: str, column: str) -> DataFrame:

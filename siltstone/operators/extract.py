@@ -13,10 +13,13 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import lanes
+
 #: Content-defined chunks: bounds and the bits that must be 0 at a cut.
 CHUNK_LEAST, CHUNK_MOST, CHUNK_MASK = 128 * 1024, 4 * 1024 * 1024, 0x31FFF
 _MB = 1 << 20
@@ -65,8 +68,38 @@ def chunk_spans(data: bytes, least: int = CHUNK_LEAST, most: int = CHUNK_MOST, m
             start, value = i + 1, 0
 
 
+def chunk_spans_of(datas: list[bytes], least: int = CHUNK_LEAST, most: int = CHUNK_MOST, mask: int = CHUNK_MASK) -> list[list[tuple[int, int, int]]]:
+    """``chunk_spans`` of many byte strings, side by side."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in datas]
+    for numbers, lengths in lanes.groups(datas):
+        if len(numbers) < lanes.FEW:
+            for i in numbers:
+                out[i] = list(chunk_spans(datas[i], least, most, mask))
+            continue
+        value, start = np.zeros(len(numbers), dtype=np.uint32), np.zeros(len(numbers), dtype=np.int64)
+        for i, c in enumerate(lanes.columns(datas, numbers, lengths)):
+            value = (value << np.uint32(1) | value >> np.uint32(31)) ^ c
+            size = i - start + 1
+            cut = (i < lengths) & ((size >= most) | (size >= least) & ((value & np.uint32(mask) == 0) | (i == lengths - 1)))
+            if cut.any():
+                for k in np.flatnonzero(cut):
+                    out[numbers[k]].append((int(start[k]), int(size[k]), int(value[k])))
+                start[cut], value[cut] = i + 1, 0
+    return out
+
+
 def chunks(df: DataFrame, key: str, content: Column, **bounds: int) -> DataFrame:
-    return _per_row(df, key, content, "offset long, length long, hash long", [pa.int64()] * 3, lambda d: chunk_spans(d, **bounds))
+    """(key, offset, length, hash) of the content-defined chunks of each row."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = chunk_spans_of([d or b"" for d in batch.column(1).to_pylist()], **bounds)
+            at = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+            flat = np.array([x for s in spans for x in s], dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(flat[:, k]) for k in range(3))], names=[key, "offset", "length", "hash"])
+
+    return df.select(key, content.alias("content")).mapInArrow(run, f"{key} {kind}, offset long, length long, hash long")
 
 
 _HEADERS = [(ext, bytes.fromhex(h), bytes.fromhex(f), least, most) for ext, h, f, least, most in SIGNATURES]
@@ -120,6 +153,17 @@ def slack(files: DataFrame, size: str, cluster: int = 4096) -> DataFrame:
     return files.withColumn("allocated", allocated).withColumn("slack", F.col("allocated") - F.col(size)).where("slack > 0")
 
 
+def search_slack(images: DataFrame, key: str, content: Column, size: Column, keyword: str, cluster: int = 4096) -> DataFrame:
+    """(key, address): where a keyword stands in what lies behind a file's last byte up to
+    the end of its cluster, overlapping places as well.  ``content`` holds whole clusters."""
+    allocated = (F.ceil(size / cluster) * cluster).cast("int")
+    behind = F.substring(content, size.cast("int") + 1, allocated - size.cast("int"))
+    word = keyword.encode()
+    found = re.compile(b"(?=" + re.escape(word) + b")")
+    hits = _per_row(images.select(key, size.alias("_size"), behind.alias("_behind")), key, F.col("_behind"), "place long", [pa.int64()], lambda d: ((m.start(),) for m in found.finditer(d)) if word else ())
+    return hits.join(images.select(key, size.cast("bigint").alias("_size")), key).select(key, (F.col("place") + F.col("_size")).alias("address"))
+
+
 _ENTRY = "format string, name string, size long, packed long, modified long, is_directory boolean, mode int, encrypted boolean"
 _TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.bool_()]
 

@@ -134,6 +134,30 @@ def visible(rectangles: DataFrame, left: float, top: float, right: float, bottom
     return rectangles.where((F.col("x") < right) & (F.col("x") + F.col("w") > left) & (F.col("y") < bottom) & (F.col("y") + F.col("h") > top))
 
 
+def layout_faults(rectangles: DataFrame, width: float, height: float, slack: float = 1e-6) -> DataFrame:
+    """(parent, items, fills, inside, apart) of rectangles (parent, id, x, y, w, h):
+    whether those of a parent have the area of its rectangle, lie in it, and no
+    two overlap.
+
+    Rectangles that fill theirs without a gap overlap nowhere just if every
+    corner point inside it is met by corners of exactly one full turn: each
+    corner adds +1 or -1 by its kind, and in a tiling the sums vanish but at
+    the corners of the whole.  So no two rectangles are ever compared.
+    """
+    unit = slack * max(width, height)
+    grid = lambda c: F.round(c / unit).cast("bigint")
+    corners = F.array(*(F.struct(grid(x).alias("u"), grid(y).alias("v"), F.lit(s).alias("s")) for x, y, s in (
+        (F.col("x"), F.col("y"), 1), (F.col("x") + F.col("w"), F.col("y"), -1), (F.col("x"), F.col("y") + F.col("h"), -1), (F.col("x") + F.col("w"), F.col("y") + F.col("h"), 1),
+    )))
+    inner = (F.col("x") > -unit) & (F.col("y") > -unit) & (F.col("x") + F.col("w") < width + unit) & (F.col("y") + F.col("h") < height + unit)
+    whole = rectangles.groupBy("parent").agg(F.count(F.lit(1)).alias("items"), (F.abs(F.sum(F.col("w") * F.col("h")) - width * height) < slack * width * height).alias("fills"), F.bool_and(inner).alias("inside"))
+    met = rectangles.select("parent", F.inline(corners)).groupBy("parent", "u", "v").agg(F.sum("s").alias("s")).where("s <> 0")
+    # Rounding may part corners that are one: sums of neighbouring cells are taken together.
+    near = met.select("parent", F.call_function("div", F.col("u") + 4, F.lit(8)).alias("u"), F.call_function("div", F.col("v") + 4, F.lit(8)).alias("v"), "s").groupBy("parent", "u", "v").agg(F.sum("s").alias("s")).where("s <> 0")
+    odd = near.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    return whole.join(odd, "parent", "left").select("parent", "items", "fills", "inside", (F.coalesce("n", F.lit(0)) <= 4).alias("apart"))
+
+
 def extension_colour(extension: Column) -> Column:
     """Colour class of an extension."""
     return (

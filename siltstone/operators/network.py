@@ -76,18 +76,28 @@ def application_protocol(src_port: Column, dst_port: Column, protocol: Column, p
     return out.otherwise(protocol)
 
 
-def packet_threat(packets: DataFrame) -> DataFrame:
-    bad = (F.col("protocol") == NUMBER["TCP"]) & F.col("dst_port").isin(4444, 1337)
+def packet_threat(packets: DataFrame, ports: tuple[int, ...] = (4444, 1337)) -> DataFrame:
+    bad = (F.col("protocol") == NUMBER["TCP"]) & F.col("dst_port").isin(*ports)
     return packets.select("*", bad.alias("is_suspicious"), F.when(bad, "Suspicious port").alias("threat_type"), F.when(bad, 0.9).otherwise(0.0).alias("confidence"))
 
 
-def connection_threat(connections: DataFrame) -> DataFrame:
-    upload = (F.col("bytes_sent") > 1_000_000) & (F.col("bytes_received") == 0)
-    many = (F.col("packet_count") > 1000) & (F.col("bytes_sent") + F.col("bytes_received") < 10_000)
+def connection_threat(connections: DataFrame, sent: int = 1_000_000, packets: int = 1000, small: int = 10_000) -> DataFrame:
+    """Over ``sent`` bytes without an answer goes before over ``packets`` packets of
+    under ``small`` bytes in all."""
+    upload = (F.col("bytes_sent") > sent) & (F.col("bytes_received") == 0)
+    many = (F.col("packet_count") > packets) & (F.col("bytes_sent") + F.col("bytes_received") < small)
     kind = F.when(upload, "Potential data exfiltration").when(many, "Potential scanning/C&C")
     return connections.select("*", kind.isNotNull().alias("is_suspicious"), kind.alias("threat_type"), F.when(upload, 0.8).when(many, 0.7).otherwise(0.0).alias("confidence"))
 
 
+def packet_rate(packets: DataFrame) -> DataFrame:
+    """(packets, seconds, packets_per_second) from the first to the last ts; 0 a second
+    if no time passed."""
+    span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
+    one = packets.agg(F.count(F.lit(1)).alias("packets"), F.coalesce(span, F.lit(0.0)).alias("seconds"))
+    return one.withColumn("packets_per_second", F.when(F.col("seconds") > 0, F.col("packets") / F.col("seconds")).otherwise(0.0))
+
+
 def packet_statistics(packets: DataFrame) -> DataFrame:
     """(protocol, packets, bytes, suspicious, average_size)."""
     flagged = packet_threat(packets)
@@ -108,16 +118,16 @@ def port_scans(packets: DataFrame, least: int = 50, ports: int = 50) -> DataFram
     return pairs.join(F.broadcast(total), F.lit(True)).where((F.col("total") >= least) & (F.col("ports") > ports)).select("src_ip", "dst_ip", "ports")
 
 
-def exfiltration(connections: DataFrame) -> DataFrame:
-    return connections.where((F.col("bytes_sent") > 1_000_000) & (F.col("bytes_received") < 10_000) & F.col("protocol").isin(NUMBER["DNS"], NUMBER["ICMP"]))
+def exfiltration(connections: DataFrame, sent: int = 1_000_000, received: int = 10_000) -> DataFrame:
+    return connections.where((F.col("bytes_sent") > sent) & (F.col("bytes_received") < received) & F.col("protocol").isin(NUMBER["DNS"], NUMBER["ICMP"]))
 
 
-def command_and_control(connections: DataFrame, blacklist: DataFrame | None = None) -> DataFrame:
+def command_and_control(connections: DataFrame, blacklist: DataFrame | None = None, ports: tuple[int, ...] = COMMAND_PORTS, packets: int = 100, small: int = 10_000) -> DataFrame:
     """Connections to a listed address, to a known port, or of many tiny packets.
 
     ``blacklist`` (dst_ip) is any table; by default the few fixed addresses.
     """
-    known = F.col("dst_port").isin(*COMMAND_PORTS) | ((F.col("packet_count") > 100) & (F.col("bytes_sent") + F.col("bytes_received") < 10_000))
+    known = F.col("dst_port").isin(*ports) | ((F.col("packet_count") > packets) & (F.col("bytes_sent") + F.col("bytes_received") < small))
     if blacklist is None:
         return connections.where(known | ip_to_string(F.col("dst_ip")).isin(*BLACKLIST))
     listed = blacklist.select("dst_ip").distinct().withColumn("_listed", F.lit(True))

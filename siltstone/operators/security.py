@@ -5,6 +5,9 @@ Permissions: path, is_directory, owner_id, group_name, mode.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +95,78 @@ def inheritance_violations(permissions: DataFrame) -> DataFrame:
     return files.distinct().join(folders, "parent", "left_semi").select(_PATH, "parent")
 
 
+#: Patterns, and characters of them in all, that are looked for in one pass.
+PATTERNS, PATTERN_CHARS = 100_000, 4_000_000
+
+
+def find_patterns(rows: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
+    """(key, pattern, offset): the patterns (column ``pattern``) that each text holds,
+    with the place, from 0, where it first does.
+
+    An automaton finds all patterns in one walk over a text, so that no text is
+    compared with each pattern.  Patterns are a stated set, taken in blocks that
+    bound the automaton.  Null texts and patterns match nothing, an empty
+    pattern stands at 0 of every text.
+    """
+    import ahocorasick
+
+    kind = rows.schema[key].dataType.simpleString()
+    asked = patterns.select("pattern").where("pattern is not null").distinct()
+    n, chars = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()
+    blocks = max(1, -(-n // PATTERNS), -(-chars // PATTERN_CHARS))
+    out = None
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else asked
+        words = sorted(r["pattern"] for r in part.collect())  # a block of the stated patterns
+
+        def run(batches: Iterator[pa.RecordBatch], words: list[str] = words) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for w in words:
+                if w:
+                    machine.add_word(w, w)
+            machine.make_automaton()
+            for batch in batches:
+                at, found, offsets = [], [], []
+                for i, value in enumerate(batch.column(1).to_pylist()):
+                    first: dict[str, int] = {"": 0} if value is not None and "" in words[:1] else {}
+                    for end, w in machine.iter(value) if value and len(machine) else ():
+                        first.setdefault(w, end - len(w) + 1)
+                    at += [i] * len(first)
+                    found += first
+                    offsets += first.values()
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(offsets, pa.int32())], names=[key, "pattern", "offset"])
+
+        one = rows.select(key, text).mapInArrow(run, f"{key} {kind}, pattern string, offset int")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def match_vulnerabilities(components: DataFrame, database: DataFrame) -> DataFrame:
     """(name, vulnerability_id, confidence): a component matches software whose name
-    its own contains.  The database is broadcast if Spark finds it small."""
-    return components.select("name").distinct().join(database.select("vulnerability_id", "affected_software"), F.col("name").contains(F.col("affected_software"))).select("name", "vulnerability_id", F.lit(0.8).alias("confidence"))
+    its own contains."""
+    names = components.select("name", F.col("name").alias("_text")).where("name is not null").distinct()
+    found = find_patterns(names, "name", "_text", database.select(F.col("affected_software").alias("pattern")))
+    known = database.select("vulnerability_id", F.col("affected_software").alias("pattern")).distinct()
+    return found.join(known, "pattern").select("name", "vulnerability_id", F.lit(0.8).alias("confidence"))
+
+
+def assess_vulnerabilities(vulnerabilities: DataFrame) -> DataFrame:
+    """``vulnerabilities`` with exploit_details and patch_details, which say so where
+    nothing is known: columns is_exploitable, exploitability, patch_url."""
+    return vulnerabilities.withColumns({
+        "exploit_details": F.coalesce("exploitability", F.lit("No exploit information available")), "patch_details": F.coalesce("patch_url", F.lit("No patch information available")),
+        "is_patch_available": F.col("patch_url").isNotNull(),
+    })
+
+
+def policies_from_templates(templates: DataFrame) -> DataFrame:
+    """(type, name, description, is_compliant, violation_details, recommended_action,
+    severity) of policies made from templates, none of them looked at yet."""
+    text = lambda c, other: F.coalesce(c, F.lit(other))
+    return templates.select(
+        "type", text("template_name", "Unknown Template").alias("name"), text("description", "Template-based policy").alias("description"), F.lit(False).alias("is_compliant"),
+        F.lit("Policy not yet evaluated").alias("violation_details"), text("recommended_setting", "No recommendation").alias("recommended_action"), F.col("severity_if_violated").alias("severity"),
+    )
 
 
 def prioritise(vulnerabilities: DataFrame, n: int | None = None) -> DataFrame:
@@ -141,12 +212,14 @@ def audit_score(permissions: DataFrame, vulnerabilities: DataFrame, policies: Da
     return one.withColumn("score", F.when(F.col("permissions") > 0, score).otherwise(1.0))
 
 
-def scan_rules(files: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
+def scan_rules(files: DataFrame, rules: DataFrame, key: str, text: str, exclude: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """(key, rule, severity, offset): places, from 0, where a file first holds a
-    rule's pattern.  Rules are a stated set: enabled ones only."""
-    live = rules.where("enabled").select("rule", "pattern", "severity")
-    at = F.instr(F.col(text), F.col("pattern"))
-    return files.select(key, text).join(live, F.col(text).contains(F.col("pattern"))).select(key, "rule", "severity", (at - 1).alias("offset"))
+    rule's pattern.  Rules are a stated set: enabled ones only.  Files whose
+    ``path`` contains one of ``exclude`` are left out."""
+    if exclude and path:
+        files = files.where(~F.coalesce(contains_any(F.col(path), exclude), F.lit(False)))
+    live = rules.where("enabled").select("rule", "pattern", "severity").distinct()
+    return find_patterns(files, key, text, live).join(live, "pattern").select(key, "rule", "severity", "offset")
 
 
 def rule_severity(severity: Column) -> Column:

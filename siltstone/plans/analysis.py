@@ -12,7 +12,8 @@ from siltstone.operators import cluster as K
 from siltstone.operators import layout as Y
 from siltstone.operators import memory as M
 from siltstone.operators import security as S
-from siltstone.runtime import table
+from siltstone.operators.store import CatalogStore
+from siltstone.runtime import Scratch, table
 from siltstone.sources import sinks
 from siltstone.streaming import changes
 
@@ -30,11 +31,12 @@ def vector_distances(spark, d):
     return _next_vectors(spark, d).select("vec_id", F.round(V.euclidean(a, b), 6).alias("euclidean"), F.round(V.manhattan(a, b), 6).alias("manhattan"), F.round(V.cosine(a, b), 6).alias("cosine"))
 
 
-_WEIGHTS = [0.5, -1.0, 2.0, 0.25]
+#: A weight for each of the 64 coordinates.
+_WEIGHTS = [round(((7 * k) % 13 - 6) / 4, 2) for k in range(64)]
 
 
 def vector_classes(spark, d):
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 10)
+    x = F.transform("embedding", lambda v: v.cast("double") * 10)
     e = table(spark, d, "embeddings").select("vec_id", "label", x.alias("x"))
     p = V.logistic_score(F.col("x"), _WEIGHTS, 0.1)
     return e.select(
@@ -45,7 +47,7 @@ def vector_classes(spark, d):
 
 
 def logistic_loss(spark, d):
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     p = V.logistic_score(x, _WEIGHTS, 0.1)
     return table(spark, d, "embeddings").agg(F.round(F.avg(V.log_loss(p, (F.col("label") == 1).cast("double"))), 9).alias("loss"))
 
@@ -139,6 +141,18 @@ def treemap_squarified(spark, d):
     return s.select("parent", "id", F.round(F.col("w") * F.col("h"), 6).alias("area"))
 
 
+def treemap_fit(spark, d):
+    """Of each parent's squarified rectangles: whether they fill its 4 by 3 rectangle,
+    lie in it, overlap nowhere, and keep the largest one no narrower than 1 to 16."""
+    return Y.layout_faults(Y.squarified(_items(spark, d), 4.0, 3.0), 4.0, 3.0).select("parent", "items", "fills", "inside", "apart")
+
+
+def treemap_hits(spark, d):
+    """The item of each parent that lies under the middle of its strips."""
+    s = Y.strips(_items(spark, d)).withColumn("depth", F.lit(1))
+    return s.where(Y.contains(F.lit(0.5), F.lit(0.5))).select("parent", "id")
+
+
 def treemap_shelves(spark, d):
     return Y.shelves(_items(spark, d)).select("parent", "id", F.round("w", 6).alias("side"))
 
@@ -162,6 +176,71 @@ def text_scalars(spark, d):
     )
 
 
+def display_scalars(spark, d):
+    """How the catalog's files are shown: sizes in whole units, size and extension classes."""
+    f = C.current(table(spark, d, "file_entry"), ["full_path", "size_logical"]).where("full_path is not null and size_logical is not null")
+    size, ext = F.col("size_logical"), F.lower(F.regexp_extract("full_path", r"(\.[^./\\]*)$", 1))
+    return f.select("volume_id", "file_id", texts.format_size_whole(size).alias("whole"), texts.size_class(size).alias("band"), Y.extension_colour(ext).alias("colour"))
+
+
+def type_texts(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", "n", V.type_description(F.col("label")).alias("description"))
+
+
+def model_round_trip(spark, d):
+    """Rows for which a model that was saved and loaded again says something else."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features"), (F.col("label") % 2).alias("label"))
+    out = None
+    for kind in ("logistic", "tree", "svm", "perceptron"):
+        model = K.train(e, kind)
+        path = f"{Scratch(spark, 'model').root}/{kind}"
+        model.write().save(path)
+        again = type(model).load(path)
+        both = K.predict(model, e).select("vec_id", "prediction").join(K.predict(again, e).select("vec_id", F.col("prediction").alias("other")), "vec_id")
+        one = both.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction") != F.col("other")).alias("different"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def export_formats(spark, d):
+    """The parts written in every format and read back."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    root, out = Scratch(spark, "exports").root, None
+    for style in sinks.FORMATS:
+        sinks.write_table(parts, f"{root}/{style}", style)
+        reader = spark.read.schema(parts.schema)
+        reader = reader.option("header", True) if style == "csv" else reader.option("rowTag", "row") if style == "xml" else reader
+        one = reader.format(style).load(f"{root}/{style}").agg(F.lit(style).alias("format"), F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"), F.sum(F.length("p_name")).alias("characters"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def linked_to_k(spark, d):
+    """Order dates as points on a line, merged by nearest gap until twenty groups are left."""
+    o = table(spark, d, "orders").select(F.datediff("o_orderdate", F.lit("1990-01-01")).cast("bigint").alias("id")).distinct()
+    order = Window.orderBy("id")  # at most one row a day
+    edges = o.select(F.col("id").alias("a"), F.lead("id").over(order).alias("b"), (F.lead("id").over(order) - F.col("id")).alias("distance")).where("b is not null")
+    sizes = K.link_to_k(o, edges, "distance", 20).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("days"))
+
+
+def stream_catalog(spark, d):
+    """The catalog as a feed of its rows leaves it in a kept store."""
+    schema = table(spark, d, "file_entry").schema
+    scratch = Scratch(spark, "feed")
+    feed = changes.read_changes(spark, f"{d}/file_entr[y].parquet", schema)
+    changes.into_catalog(feed, f"{scratch.root}/catalog", f"{scratch.root}/checkpoint", ["full_path", "size_logical"]).awaitTermination()
+    return CatalogStore(spark, f"{scratch.root}/catalog").rows()
+
+
+def stream_rings(spark, d):
+    """Number of values that each event type's ring buffer of 100 holds at the end."""
+    rings = changes.ring_percentiles(_event_stream(spark, d).select("event_type", "value"), "event_type", "value", 100)
+    got = changes.run_to_end(rings, "rings", "update")
+    return got.groupBy("event_type").agg(F.max("n").alias("n"), F.count_distinct("percent").alias("percents"))
+
+
 def time_scalars(spark, d):
     f = C.current(table(spark, d, "file_entry"), ["modified", "accessed"]).where("modified is not null")
     as_of = F.lit(AS_OF).cast("timestamp")
@@ -222,15 +301,16 @@ def event_sessions(spark, d):
 
 
 _PAIR = "(SELECT a.vec_id, a.embedding::DOUBLE[64] AS x, b.embedding::DOUBLE[64] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
-_X = "(SELECT vec_id, label, list_transform(embedding[1:4], lambda v: v::DOUBLE * 10) AS x FROM embeddings)"
-_S = "(0.1::DOUBLE + x[1] * 0.5 - x[2] + x[3] * 2 + x[4] * 0.25)"
+_X = "(SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE * 10) AS x FROM embeddings)"
+_DOT = "list_sum(list_transform(x, lambda v, i: v * ([" + ", ".join(map(str, _WEIGHTS)) + "]::DOUBLE[])[i]))"
+_S = f"(0.1::DOUBLE + {_DOT})"
 _LIVE = "(SELECT * FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1) WHERE NOT deleted AND full_path IS NOT NULL AND size_logical IS NOT NULL)"
 _FEATURES = f"""(SELECT file_id, full_path, size_logical AS size, CASE WHEN t = '' THEN 'unknown' ELSE t END AS type, w AS modified_s,
   [size_logical / 1048576, xor(size_logical, w) / 1e6, 0, c / 31536000, w / 31536000, length(CASE WHEN t = '' THEN 'unknown' ELSE t END), 0, 0]::DOUBLE[8] AS f
   FROM (SELECT *, regexp_extract(full_path, '\\.([^.]*)$', 1) AS t, epoch_us(created) // 1000000 AS c, epoch_us(modified) // 1000000 AS w FROM {_LIVE}))"""
 _ITEMS = "(SELECT path_id AS parent, file_id AS id, size_logical AS size FROM (SELECT * FROM treemap_node QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1) WHERE path_id IS NOT NULL AND size_logical > 0)"
 _SHOWN = f"""(SELECT *, sum(size) OVER (PARTITION BY parent) AS whole, sum(size) OVER (PARTITION BY parent ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
-  FROM (SELECT parent, CASE WHEN r <= 1000 THEN id ELSE -1 END AS id, sum(size)::BIGINT AS size, least(min(r), 1001) AS r FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r FROM {_ITEMS}) GROUP BY 1, 2))"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY size DESC, id) AS r FROM {_ITEMS}))"""
 _NAMES = "CASE label " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(V.FILE_TYPES)) + " ELSE 'Unknown' END"
 _LINKS = "(SELECT o_orderkey AS a, lag(o_orderkey) OVER w AS b, datediff('day', lag(o_orderdate) OVER w, o_orderdate) AS days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 _RUNS = f"""(SELECT o.o_orderkey AS id, o.o_custkey, sum(CASE WHEN l.days IS NULL OR l.days > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY o.o_custkey ORDER BY o.o_orderdate, o.o_orderkey) AS run FROM orders o JOIN {_LINKS} l ON l.a = o.o_orderkey)"""
@@ -240,19 +320,30 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_distances, vector_classes, logistic_loss, nearest_vectors, file_features, training_rows, similar_files, cluster_cohesion, cluster_sizes, linked_orders, density_clusters, leader_clusters, model_accuracy,
-        cross_validation, treemap_strips, treemap_squarified, treemap_shelves, treemap_spiral, treemap_visible, text_scalars, time_scalars, mode_round_trip, enumerations, dump_formats, export_json, stream_windows,
-        stream_sliding, stream_histogram, stream_distinct, event_sessions,
+        cross_validation, treemap_strips, treemap_squarified, treemap_fit, treemap_hits, treemap_shelves, treemap_spiral, treemap_visible, text_scalars, time_scalars, mode_round_trip, enumerations, dump_formats, export_json, stream_windows,
+        stream_sliding, stream_histogram, stream_distinct, stream_catalog, stream_rings, event_sessions, display_scalars, type_texts, model_round_trip, export_formats, linked_to_k,
     )
 }
 
 SQL = {
+    "display_scalars": f"""
+SELECT volume_id, file_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN s // 1024 || ' KB' WHEN s < 1073741824 THEN s // 1048576 || ' MB' ELSE s // 1073741824 || ' GB' END AS whole,
+  CASE WHEN s < 1024 THEN 'tiny' WHEN s < 1048576 THEN 'small' WHEN s < 10485760 THEN 'medium' WHEN s < 104857600 THEN 'large' WHEN s < 1073741824 THEN 'huge' ELSE 'giant' END AS band,
+  CASE WHEN e IN ('exe', 'dll') THEN 'red' WHEN e IN ('jpg', 'png', 'gif') THEN 'green' WHEN e IN ('mp3', 'wav', 'flac') THEN 'yellow' WHEN e IN ('txt', 'doc', 'pdf') THEN 'purple' ELSE 'gray' END AS colour
+FROM (SELECT volume_id, file_id, size_logical AS s, lower(regexp_extract(full_path, '\\.([^./\\\\]*)$', 1)) AS e FROM {_LIVE})""",
+    "type_texts": "SELECT label, count(*) AS n, CASE label " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(V.TYPE_DESCRIPTIONS)) + " ELSE 'Unknown file type' END AS description FROM embeddings GROUP BY label",
+    "model_round_trip": "SELECT model, count(*) AS rows, 0::BIGINT AS different FROM embeddings, (VALUES ('logistic'), ('tree'), ('svm'), ('perceptron')) m(model) GROUP BY 1",
+    "export_formats": "SELECT format, count(*) AS n, sum(p_partkey)::BIGINT AS keys, sum(length(p_name))::BIGINT AS characters FROM part, (VALUES ('csv'), ('json'), ('parquet'), ('orc'), ('xml')) f(format) GROUP BY 1",
+    "linked_to_k": "SELECT 20::BIGINT AS groups, count(DISTINCT o_orderdate)::BIGINT AS days FROM orders",
+    "stream_catalog": f"SELECT volume_id, file_id, full_path, size_logical FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1) WHERE NOT deleted",
+    "stream_rings": "SELECT event_type, least(count(value), 100)::BIGINT AS n, 3::BIGINT AS percents FROM events GROUP BY 1",
     "vector_distances": f"SELECT vec_id, round(array_distance(x, y), 6) AS euclidean, round(list_sum(list_transform(list_zip(x::DOUBLE[], y::DOUBLE[]), lambda p: abs(p[1] - p[2]))), 6) AS manhattan, round(array_cosine_similarity(x, y), 6) AS cosine FROM {_PAIR}",
     "vector_classes": f"""
 SELECT vec_id, round(p, 6) AS p, CASE WHEN p > 0.9 THEN 'Malware' WHEN p > 0.7 THEN 'Executable' WHEN x[1] > 0.5 THEN 'Document' ELSE 'Unknown' END AS by_score,
-  CASE WHEN list_sum(x) / 4 > 0.7 THEN 'Malware' WHEN list_sum(x) / 4 > 0.3 THEN 'Executable' ELSE 'Unknown' END AS by_mean, round(abs(s) / (abs(s) + 1), 6) AS margin, {_NAMES} AS name,
+  CASE WHEN list_sum(x) / 64 > 0.7 THEN 'Malware' WHEN list_sum(x) / 64 > 0.3 THEN 'Executable' ELSE 'Unknown' END AS by_mean, round(abs(s) / (abs(s) + 1), 6) AS margin, {_NAMES} AS name,
   round(1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS softmax, round(list_sum(list_transform(x, lambda v: least(greatest(v, 0), 1))), 6) AS clamped
 FROM (SELECT *, {_S} AS s, 1 / (1 + exp(-{_S})) AS p FROM {_X})""",
-    "logistic_loss": f"SELECT round(avg(-CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END), 9) AS loss FROM (SELECT label, 1 / (1 + exp(-(0.1::DOUBLE + (x[1] * 0.5 - x[2] + x[3] * 2 + x[4] * 0.25) / 10))) AS p FROM {_X})",
+    "logistic_loss": f"SELECT round(avg(-CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END), 9) AS loss FROM (SELECT label, 1 / (1 + exp(-(0.1::DOUBLE + {_DOT} / 10))) AS p FROM {_X})",
     "nearest_vectors": """
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS rank_no, id, round(s, 6) AS score
 FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(array_cosine_similarity(q.embedding::DOUBLE[64], e.embedding::DOUBLE[64]), 9) AS s FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
@@ -276,6 +367,8 @@ WITH r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY o_cus
 SELECT id, CASE WHEN n < 3 THEN -1 ELSE min(CASE WHEN k > 1 AND k < n THEN id END) OVER (PARTITION BY o_custkey, run) END AS cluster, n >= 3 AND k > 1 AND k < n AS is_core FROM r""",
     "treemap_strips": f"SELECT parent, id, round(coalesce(above, 0) / whole, 6) AS y, round(size / whole, 6) AS h FROM {_SHOWN}",
     "treemap_squarified": f"SELECT parent, id, round(size / whole * 12, 6) AS area FROM {_SHOWN}",
+    "treemap_fit": f"SELECT parent, count(*) AS items, true AS fills, true AS inside, true AS apart FROM {_ITEMS} GROUP BY 1",
+    "treemap_hits": f"SELECT parent, id FROM {_SHOWN} WHERE coalesce(above, 0) / whole <= 0.5 AND 0.5 < coalesce(above, 0) / whole + size / whole",
     "treemap_shelves": f"SELECT parent, id, round(sqrt(size / whole), 6) AS side FROM {_SHOWN}",
     "treemap_spiral": f"SELECT parent, id, round(0.5::DOUBLE + (10 + 5 * (r - 1)) * cos(0.5 * (r - 1)), 6) AS x, round(0.5::DOUBLE + (10 + 5 * (r - 1)) * sin(0.5 * (r - 1)), 6) AS y, round(sqrt(size) * 2, 6) AS side FROM {_SHOWN}",
     "treemap_visible": f"SELECT parent, count(*) AS n FROM {_SHOWN} WHERE coalesce(above, 0) / whole < 0.5 AND coalesce(above, 0) / whole + size / whole > 0.25 GROUP BY 1",

@@ -75,8 +75,9 @@ def bloom_false_positive_rate(spark, d):
 
 def bloom_filter_members(spark, d):
     """Incoming digests, however written, that a filter over the catalog does not rule out, confirmed by a join."""
-    known = table(spark, d, "file_entry").where("sha256 is not null").select(F.lower(F.hex("sha256")).alias("digest")).distinct()
-    bits, hashes = C.bloom_size(1_000_000, 0.01)
+    entries = table(spark, d, "file_entry")
+    known = entries.where("sha256 is not null").select(F.lower(F.hex("sha256")).alias("digest")).distinct()
+    bits, hashes = C.bloom_size(max(1, entries.count()), 0.01)
     asked = table(spark, d, "incoming_entry").select(F.lower(F.hex(content.digest(F.col("sha256"), 32))).alias("digest")).where("digest is not null")
     maybe = C.bloom_might_contain(asked, ["digest"], C.bloom_build(known, ["digest"], bits, hashes), bits, hashes)
     return maybe.join(known, "digest", "left_semi")
@@ -250,7 +251,9 @@ WITH c AS (SELECT volume_id, count(*) AS n FROM ({_CUR}) GROUP BY 1),
 b AS (SELECT *, ceil(ceil(-n * ln(0.01::DOUBLE) / pow(ln(2.0::DOUBLE), 2)) / 64) * 64 AS m FROM c),
 h AS (SELECT *, least(greatest(round(m / n * ln(2.0::DOUBLE)), 1), 20) AS k FROM b)
 SELECT volume_id, CAST(m AS BIGINT) AS bits, CAST(k AS INTEGER) AS hashes, round(pow(1 - exp(-k * n / m), k), 9) AS rate FROM h""",
-    "bloom_filter_members": "SELECT DISTINCT lower(sha256) AS digest FROM incoming_entry WHERE length(sha256) = 64 AND lower(sha256) IN (SELECT lower(hex(sha256)) FROM file_entry WHERE sha256 IS NOT NULL)",
+    "bloom_filter_members": """
+SELECT DISTINCT digest FROM (SELECT CASE WHEN length(sha256) = 44 THEN lower(hex(from_base64(sha256))) ELSE lower(replace(replace(trim(sha256), 'sha256:', ''), ':', '')) END AS digest FROM incoming_entry)
+WHERE digest IN (SELECT lower(hex(sha256)) FROM file_entry WHERE sha256 IS NOT NULL)""",
     "scan_filter": f"SELECT volume_id, file_id, full_path, size_logical FROM {_LIVE} WHERE NOT starts_with(full_path, '/srv/v7/') AND lower({_EXT}) IN ('.pdf', '.txt') AND NOT contains({_BASE}, 'index') AND size_logical BETWEEN 100 AND 10000000",
     "age_filter": f"SELECT volume_id, file_id, full_path, size_logical FROM {_LIVE} WHERE size_logical >= 1 AND {_EXT} IN ('.pdf', '.PDF') AND (contains(full_path, '/srv/') OR contains(full_path, 'D:\\')) AND NOT contains(full_path, 'cache')",
     "include_exclude": f"SELECT volume_id, file_id, full_path FROM {_LIVE} WHERE (contains(full_path, 'archive') OR contains(full_path, 'backup')) AND NOT contains(full_path, 'cache') AND NOT contains(full_path, 'tmp')",

@@ -11,6 +11,8 @@ from siltstone.operators import memory as M
 from siltstone.operators import network as N
 from siltstone.operators import security as S
 from siltstone.runtime import table
+from siltstone.sources import sinks
+from siltstone.sources.files import decode_captures
 
 _LINE = r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ) (\S+?)\[(\d+)\]: rc=(\d+) sz=(\d+) id=(\S+)"
 
@@ -104,6 +106,56 @@ def _connections(spark, d) -> DataFrame:
     return per.select("src_ip", "dst_ip", "dst_port", "protocol", "packet_count", F.col("price").alias("bytes_sent"), F.when(F.col("dst_port") == 53, 0).otherwise(F.col("size")).alias("bytes_received"))
 
 
+def captured_packets(spark, d):
+    """Capture files, one for each customer's orders in either byte order, decoded packet by packet."""
+    big = lambda n, size: F.lpad(F.hex(n), 2 * size, "0")
+    swapped = lambda n: F.concat(*(F.substring(big(n, 4), 7 - 2 * k, 2) for k in range(4)))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("k"), F.col("o_custkey").cast("bigint").alias("c"))
+    tcp = F.col("k") % 2 == 0
+    ports = F.concat(big(F.col("k") % 60_000 + 1024, 2), big(F.when(tcp, 80).otherwise(53).cast("bigint"), 2))
+    body = F.when(tcp, F.concat(ports, F.lit("00" * 8), F.lit("50"), F.lit("00" * 7))).otherwise(F.concat(ports, F.lit("00" * 4)))
+    ip = F.concat(F.lit("45" + "00" * 8), F.when(tcp, "06").otherwise("11"), F.lit("0000"), big(F.lit(0x0A000000) + F.col("k") % 65_536, 4), big(F.lit(0xC0A80000) + F.col("c") % 65_536, 4))
+    frame = F.concat(F.lit("00" * 12 + "0800"), ip, body, F.lit("6869"))
+    n = (F.length(frame) / 2).cast("bigint")
+    little = F.col("c") % 2 == 0
+    head = lambda x: F.when(little, swapped(x)).otherwise(big(x, 4))
+    packet = F.concat(head(F.lit(1_700_000_000) + F.col("k") % 1000), head(F.lit(5).cast("bigint")), head(n), head(n + 100), frame)
+    mark = F.when(F.col("c") % 2 == 0, "D4C3B2A1").otherwise("A1B2C3D4")
+    files = o.groupBy("c").agg(F.concat_ws("", F.sort_array(F.collect_list(packet))).alias("packets"))  # some orders a customer
+    raw = files.select(F.col("c").cast("string").alias("path"), F.unhex(F.concat(mark, F.lit("00" * 20), F.col("packets"))).alias("content"))
+    got = decode_captures(raw)
+    return got.select("path", F.unix_micros("ts").alias("ts_us"), "packet_size", N.ip_to_string(F.col("src_ip")).alias("src"), N.ip_to_string(F.col("dst_ip")).alias("dst"), "src_port", "dst_port", N.protocol_name(F.col("protocol")).alias("protocol"), F.decode("payload", "UTF-8").alias("payload"))
+
+
+def packet_rate(spark, d):
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return N.packet_rate(e).select("packets", F.round("seconds", 3).alias("seconds"), F.round("packets_per_second", 6).alias("packets_per_second"))
+
+
+def log_round_trip(spark, d):
+    """Every event written as a line of one of three formats and parsed again."""
+    logs = _event_logs(spark, d).withColumn("ts", F.date_trunc("second", "ts"))
+    out = None
+    for k, style in enumerate(("syslog", "json", "csv")):
+        some = logs.where(F.col("event_id") % 3 == k)
+        rows = L.parse_syslog(L.formatted(some, style), year=2024) if style == "syslog" else L.PARSERS[style](L.formatted(some, style))
+        rows = rows.groupBy(F.lit(style).alias("style"), "process", "pid", F.unix_micros("ts").alias("ts_us"), "message").agg(F.count(F.lit(1)).alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def known_rootkits(spark, d):
+    """Files of the catalog that carry the name of a known rootkit."""
+    kits = spark.createDataFrame(list(M.KNOWN_ROOTKITS), "rootkit string, description string, how_to_find string")
+    files = C.current(table(spark, d, "file_entry"), ["full_path"]).where("full_path is not null").withColumn("low", F.lower("full_path"))
+    found = S.find_patterns(files, "file_id", "low", kits.select(F.lower("rootkit").alias("pattern")))
+    return found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def memory_summary(spark, d):
+    return sinks.memory_report(M.process_behaviour(_processes(spark, d)), M.connection_behaviour(_sockets(spark, d)))
+
+
 def network_statistics(spark, d):
     got = N.packet_statistics(_packets(spark, d))
     return got.select(N.protocol_name(F.col("protocol")).alias("protocol"), "packets", "bytes", "suspicious", F.round("average_size", 6).alias("average_size"))
@@ -239,6 +291,33 @@ def rule_matches(spark, d):
     return found.select("doc_id", "rule", S.rule_severity(F.col("severity")).alias("severity"), "offset")
 
 
+def vulnerability_counts(spark, d):
+    """Report of the matches over all parts, each vulnerability as often as it was found."""
+    found = vulnerability_matches(spark, d).select("vulnerability_id").join(_vulnerabilities(spark), "vulnerability_id")
+    return sinks.vulnerability_report(found)
+
+
+def compliance_summary(spark, d):
+    met = policy_baseline(spark, d).select((F.col("status") == "match").alias("is_compliant"))
+    return sinks.compliance_report(met).withColumn("percent", F.round("percent", 6))
+
+
+def audit_lines(spark, d):
+    return sinks.audit_report(security_audit(spark, d).withColumn("score", F.round("score", 4)))
+
+
+def remediation_steps(spark, d):
+    met = policy_baseline(spark, d).select("name", (F.col("status") == "match").alias("is_compliant"), F.when(F.col("status") == "missing", "High").otherwise("Low").alias("severity"))
+    return S.remediation_plan(met)
+
+
+def template_policies(spark, d):
+    """Policies made from templates, one for each part type."""
+    kinds = table(spark, d, "part").select("p_type").distinct()
+    templates = kinds.select(F.lit("Audit").alias("type"), F.col("p_type").alias("template_name"), F.lit(None).cast("string").alias("description"), F.when(F.col("p_type").contains("STEEL"), "check").alias("recommended_setting"), F.lit("High").alias("severity_if_violated"))
+    return S.policies_from_templates(templates)
+
+
 _LOGS = """(SELECT event_id, ts, 'app' || user_id % 17 AS source, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'Warning' WHEN 'view' THEN 'debug' ELSE 'INFO' END AS level,
   event_type || ' ' || props AS message, 'node' || user_id % 5 AS host, event_type AS process, user_id % 1000 AS pid FROM events)"""
 _LINES = r"""(SELECT doc_id, epoch_us(regexp_extract(line, '^(\S+)', 1)::TIMESTAMPTZ) AS ts_us, regexp_extract(line, 'Z (\S+?)\[', 1) AS host, regexp_extract(line, '\[(\d+)\]', 1)::INTEGER AS pid,
@@ -269,11 +348,36 @@ QUERIES = {
     for f in (
         device_lines, device_line_summary, log_filter, log_statistics, log_first_sources, log_top_sources, log_search, log_formats, log_parsed, log_written, network_statistics, network_flood_targets, network_port_scans,
         network_exfiltration, network_command_and_control, network_threats, network_connection_threats, network_applications, memory_processes, memory_connections, memory_injection, memory_rootkit_activity,
+        captured_packets, packet_rate, log_round_trip, known_rootkits, memory_summary, vulnerability_counts, compliance_summary, audit_lines, remediation_steps, template_policies,
         permission_findings, permission_patterns, permission_risks, permission_inheritance, vulnerability_matches, vulnerability_priorities, policy_baseline, security_audit, rule_matches,
     )
 }
 
 SQL = {
+    "log_written": f"SELECT strftime(ts, '%b %d %H:%M:%S') || ' ' || host || ' ' || process || '[' || pid || ']: ' || message AS value FROM {_LOGS}",
+    "log_round_trip": f"""
+SELECT style, process, pid::INTEGER AS pid, epoch_us(date_trunc('second', ts)) AS ts_us, message, count(*) AS n
+FROM (SELECT *, (['syslog', 'json', 'csv'])[event_id % 3 + 1] AS style FROM {_LOGS}) GROUP BY ALL""",
+    "log_formats": """
+SELECT * FROM (VALUES ('a.log', 'syslog', 'Syslog format'), ('b.txt', 'syslog', 'Syslog format'), ('c.log', 'apache', 'Apache Common Log Format'), ('d.log', 'json', 'JSON Log Format'), ('e.json', 'json', 'JSON Log Format'),
+  ('f.csv', 'csv', 'CSV Log Format'), ('g.log', 'custom', 'Custom Log Format'), ('h.log', NULL, 'Unknown format')) t(path, format, description)""",
+    "log_parsed": """
+SELECT * FROM (VALUES (1247445::BIGINT, 'syslog', 'error', 'Failed password error for root', 'server1', 'sshd', 2345), (383446, 'syslog', 'warn', 'Started warning service', 'server1', 'systemd', 1),
+  (1705314645, 'apache', 'warn', 'GET /index.html HTTP/1.1', '10.0.0.7', NULL, NULL), (1705314645, 'json', 'error', 'disk full', NULL, NULL, 7), (NULL, 'json', 'info', 'x', NULL, NULL, NULL),
+  (1705314645, 'app', 'warn', 'slow', 'host1', 'proc', 9), (NULL, 'custom', 'fatal', 'free text with a fatal flaw', NULL, NULL, NULL)) t(ts_s, source, level, message, host, process, pid)""",
+    "captured_packets": """
+SELECT o_custkey::VARCHAR AS path, (1700000000 + o_orderkey % 1000) * 1000000 + 5 AS ts_us, (CASE WHEN o_orderkey % 2 = 0 THEN 56 ELSE 44 END + 100)::BIGINT AS packet_size, '10.0.' || (o_orderkey % 65536 >> 8) || '.' || (o_orderkey % 256) AS src,
+  '192.168.' || (o_custkey % 65536 >> 8) || '.' || (o_custkey % 256) AS dst, (o_orderkey % 60000 + 1024)::INTEGER AS src_port, CASE WHEN o_orderkey % 2 = 0 THEN 80 ELSE 53 END AS dst_port, CASE WHEN o_orderkey % 2 = 0 THEN 'TCP' ELSE 'UDP' END AS protocol, 'hi' AS payload FROM orders""",
+    "packet_rate": "SELECT count(*) AS packets, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS packets_per_second FROM events",
+    "known_rootkits": "SELECT pattern, count(*) AS n FROM (SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1), (VALUES "
+    + ", ".join(f"('{name.lower()}')" for name, *_ in M.KNOWN_ROOTKITS) + ") k(pattern) WHERE NOT deleted AND contains(lower(full_path), pattern) GROUP BY 1",
+    "memory_summary": f"SELECT 'processes' AS section, count(*) AS n, count(t) AS suspicious FROM {_JUDGED} UNION ALL SELECT 'connections', count(*), count(t) FROM {_JUDGED_SOCKETS}",
+    "vulnerability_counts": """
+SELECT severity, count(*) AS n, count(*) FILTER (WHERE x) AS exploitable, max(score)::DOUBLE AS worst
+FROM (SELECT DISTINCT lower(p_name) AS name FROM part), (VALUES ('steel', 'Critical', 9.8, true), ('copper', 'High', 7.5, false), ('brass', 'High', 7.5, true), ('large', 'Low', 2.1, false)) v(s, severity, score, x) WHERE contains(name, s) GROUP BY 1""",
+    "compliance_summary": f"SELECT count(*) AS checked, count(*) FILTER (WHERE status = 'match') AS compliant, count(*) FILTER (WHERE status <> 'match') AS violations, round(count(*) FILTER (WHERE status = 'match') * 100 / count(*), 6) AS percent FROM {_BASELINE}",
+    "remediation_steps": f"SELECT name, 'Remediate ' || name AS action, CASE WHEN status = 'missing' THEN 'Medium' ELSE 'Low' END AS effort FROM {_BASELINE} WHERE status <> 'match'",
+    "template_policies": "SELECT DISTINCT 'Audit' AS type, p_type AS name, 'Template-based policy' AS description, false AS is_compliant, 'Policy not yet evaluated' AS violation_details, CASE WHEN contains(p_type, 'STEEL') THEN 'check' ELSE 'No recommendation' END AS recommended_action, 'High' AS severity FROM part",
     "device_lines": f"SELECT * FROM {_LINES}",
     "device_line_summary": f"SELECT host, rc, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us FROM {_LINES} GROUP BY 1, 2",
     "log_filter": f"SELECT event_id, source, level, message FROM {_LOGS} WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND contains(source, 'app1') AND contains(lower(message), 'k') AND level <> 'debug'",
@@ -324,3 +428,6 @@ SELECT *, round((1 - insecure / permissions + 1 - critical / (vulnerabilities +
 FROM (SELECT count(*) AS permissions, count(issue) AS insecure FROM {_FINDING}), (SELECT 4::BIGINT AS vulnerabilities, 1::BIGINT AS critical), (SELECT count(*) AS policies, count(*) FILTER (WHERE status <> 'match') AS violations FROM {_BASELINE})""",
     "rule_matches": "SELECT doc_id, rule, severity, strpos(text, pattern)::INTEGER - 1 AS \"offset\" FROM documents, (VALUES ('quota', 'quota', 'Moderate'), ('tape', 'tape', 'Very high'), ('volume', 'volumen V', 'High')) r(rule, pattern, severity) WHERE contains(text, pattern)",
 }
+SQL["audit_lines"] = f"""
+SELECT unnest(['Security audit summary:', '  Permissions checked: ' || permissions, '  Insecure permissions: ' || insecure, '  Vulnerabilities found: ' || vulnerabilities, '  Critical vulnerabilities: ' || critical,
+  '  Policy violations: ' || violations, printf('  Overall score: %.2f%%', round(score, 4) * 100)]) AS value FROM ({SQL["security_audit"]})"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -15,10 +16,46 @@ from siltstone.operators.logs import PARSERS
 from siltstone.operators.network import decode_ethernet
 
 
-def scan(spark: SparkSession, root: str, *, recursive: bool = True, content: bool = False, **filters) -> DataFrame:
+_ATTRIBUTES = "mode int, owner_id long, group_id long, owner_name string, group_name string, created timestamp, accessed timestamp, changed timestamp, links long, inode long, size_on_disk long"
+
+
+def _attributes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the file system of the machine says about each path; nulls where it says
+    nothing, as for files that are gone or lie elsewhere."""
+    import grp
+    import pwd
+
+    def name(find, number: int) -> str | None:
+        try:
+            return find(number)[0]
+        except (KeyError, OverflowError):
+            return None
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "timestamp": pa.timestamp("us", "UTC")}
+    fields = [(f.split()[0], kinds[f.split()[1]]) for f in _ATTRIBUTES.split(", ")]
+    for batch in batches:
+        rows = []
+        for path in batch.column("full_path").to_pylist():
+            try:
+                s = os.lstat(path)
+            except (OSError, ValueError):
+                rows.append((None,) * len(fields))
+                continue
+            made = getattr(s, "st_birthtime_ns", None)
+            times = [None if t is None else t // 1000 for t in (made, s.st_atime_ns, s.st_ctime_ns)]
+            rows.append((s.st_mode, s.st_uid, s.st_gid, name(pwd.getpwuid, s.st_uid), name(grp.getgrgid, s.st_gid), *times, s.st_nlink, s.st_ino, s.st_blocks * 512))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+        found = [pa.array(c, pa.int64()).cast(kind) if pa.types.is_timestamp(kind) else pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *(f for f, _ in fields)])
+
+
+def scan(spark: SparkSession, root: str, *, recursive: bool = True, content: bool = False, attributes: bool = False, **filters) -> DataFrame:
     """Catalog rows of the files below ``root``; content is read only if asked for.
 
-    file_id is a hash of the path.  Filters are those of ``scan_filter``.
+    file_id is a hash of the path.  With ``attributes`` each executor asks the
+    file system, which all must share at the same place, for mode, owner, group,
+    times, links, inode and bytes on disk; a birth time that the system does not
+    tell is null.  Filters are those of ``scan_filter``.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("ignoreMissingFiles", True).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
@@ -26,7 +63,11 @@ def scan(spark: SparkSession, root: str, *, recursive: bool = True, content: boo
         F.lit(0).cast("bigint").alias("volume_id"), F.xxhash64(path).alias("file_id"), path.alias("full_path"), F.col("length").alias("size_logical"),
         (F.ceil(F.col("length") / 4096) * 4096).cast("bigint").alias("size_on_disk"), F.col("modificationTime").alias("modified"), *(["content"] if content else []),
     )
-    return scan_filter(rows, **filters)
+    kept = scan_filter(rows, **filters)
+    if not attributes:
+        return kept
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.drop("size_on_disk").schema)
+    return kept.drop("size_on_disk").mapInArrow(_attributes, f"{schema}, {_ATTRIBUTES}").withColumn("is_hidden", paths.base_name(F.col("full_path")).startswith("."))
 
 
 def directories_first(rows: DataFrame) -> DataFrame:
@@ -59,8 +100,12 @@ def _split_capture(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     """Decoded packets of capture files; a frame that is cut off ends its file."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    frames = raw.mapInArrow(_split_capture, "path string, ts_us long, packet_size long, frame binary")
+    return decode_captures(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def decode_captures(files: DataFrame) -> DataFrame:
+    """Decoded packets of capture files (path, content)."""
+    frames = files.select("path", "content").mapInArrow(_split_capture, "path string, ts_us long, packet_size long, frame binary")
     return decode_ethernet(frames.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us"))
 
 

@@ -45,6 +45,24 @@ def audit_report(score: DataFrame, style: str = "text") -> DataFrame:
     return score.select(F.explode(F.array(F.lit("Security audit summary:"), *lines, F.concat(F.lit("  Overall score: "), F.format_string("%.2f%%", F.col("score") * 100)))).alias("value"))
 
 
+def vulnerability_report(vulnerabilities: DataFrame) -> DataFrame:
+    """(severity, n, exploitable, worst): counts and the highest score of each severity."""
+    return vulnerabilities.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_exploitable").alias("exploitable"), F.max("cvss_score").alias("worst"))
+
+
+def compliance_report(results: DataFrame) -> DataFrame:
+    """(checked, compliant, violations, percent) of policies with is_compliant; a null
+    counts as a violation, and nothing checked is 0 percent."""
+    met, n = F.count_if(F.coalesce("is_compliant", F.lit(False))), F.count(F.lit(1))
+    return results.agg(n.alias("checked"), met.alias("compliant"), (n - met).alias("violations"), F.when(n > 0, met * 100 / n).otherwise(0.0).alias("percent"))
+
+
+def report_lines(report: DataFrame, title: str) -> DataFrame:
+    """(value): the title and a line ``column: value, ...`` for each row."""
+    cells = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in report.columns]
+    return report.sparkSession.createDataFrame([(title,)], "value string").unionByName(report.select(F.concat_ws(", ", *cells).alias("value")))
+
+
 def memory_report(processes: DataFrame, connections: DataFrame) -> DataFrame:
     """(section, n, suspicious) of judged processes and connections."""
     parts = [df.agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("n"), F.count_if("is_suspicious").alias("suspicious")) for name, df in (("processes", processes), ("connections", connections))]

@@ -253,3 +253,53 @@ def test_more_targets_than_a_block_holds(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(K, "BROADCAST_ROWS", 70)
     assert found() == want and len(want[1]) == 75
+
+
+def test_similar_files_lose_nothing_by_meeting_in_bands(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(220):
+        size = rng.choice([None, 0, 5, 1000, rng.randrange(900, 1100), rng.randrange(1, 10**6)])
+        rows.append((1, i, f"/d/{i % 180}.{rng.choice(['txt', 'pdf'])}", size, rng.choice(["txt", "pdf"]), rng.choice([None, 0, 1_600_000_000 + rng.randrange(10**7)]), [float(size or 0), rng.random(), 1.0]))
+    df = spark.createDataFrame(rows, "volume_id long, file_id long, full_path string, size long, type string, modified_s long, features array<double>")
+    asked = df.where("file_id % 5 = 0")
+    for threshold in (0.9, 0.97):
+        whole = K._similar(df.withColumn("size", F.coalesce("size", F.lit(0))), asked.withColumn("size", F.coalesce("size", F.lit(0))).toPandas(), threshold)
+        want = {(r.target_id, r.file_id): round(r.similarity, 9) for r in whole.collect()}
+        got = [(r.target_id, r.file_id, round(r.similarity, 9)) for r in K.similar_files(df, asked, threshold).collect()]
+        assert {(a, b): s for a, b, s in got} == want and len(got) == len(want)
+
+
+def test_leaders_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(i % 2, i, x.tolist()) for i, x in enumerate(v)] + [(0, None, [1.0] * 4), (1, 200, None)], "b int, id long, v array<double>")
+    want = {tuple(r) for r in K.leaders(df, "b", "id", "v", 0.7).collect()}
+    monkeypatch.setattr(K, "SLICE_ROWS", 25)
+    assert {tuple(r) for r in K.leaders(df, "b", "id", "v", 0.7).collect()} == want and len(want) == 90
+
+
+def test_linkage_to_k_groups(spark):
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 10, 11, 30, 31, 32, 99)], "id long")
+    ids = [1, 2, 3, 10, 11, 30, 31, 32]
+    edges = spark.createDataFrame([(a, b, b - a) for a in ids for b in ids if a < b] + [(2, 1, 1)], "a long, b long, d long")
+    groups = lambda k: sorted(sorted(r.id for r in g) for g in _grouped(K.link_to_k(nodes, edges, "d", k).collect()))
+    assert groups(4) == [[1, 2, 3], [10, 11], [30, 31, 32], [99]]
+    assert groups(3) == [[1, 2, 3, 10, 11], [30, 31, 32], [99]] and groups(1) == [ids, [99]] and len(groups(9)) == 9
+    assert K.link_to_k(nodes, edges.limit(0), "d", 2).count() == 9
+
+
+def _grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.component, []).append(r)
+    return out.values()
+
+
+def test_faults_of_layouts_are_seen(spark):
+    r = "parent long, id long, x double, y double, w double, h double"
+    ok = [(1, 1, 0.0, 0.0, 0.5, 1.0), (1, 2, 0.5, 0.0, 0.5, 0.5), (1, 3, 0.5, 0.5, 0.5, 0.5)]
+    over = [(2, 1, 0.0, 0.0, 0.5, 1.0), (2, 2, 0.25, 0.0, 0.5, 1.0)]
+    out = [(3, 1, 0.0, 0.0, 0.5, 1.0), (3, 2, 0.75, 0.0, 0.5, 1.0)]
+    got = {f.parent: (f.fills, f.inside, f.apart) for f in Y.layout_faults(spark.createDataFrame(ok + over + out, r), 1.0, 1.0).collect()}
+    assert got[1] == (True, True, True) and got[2] == (True, True, False) and not got[3][1]

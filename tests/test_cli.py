@@ -25,7 +25,12 @@ def run(spark, root, command, *args):
 
 
 def test_commands(spark, scanned):
-    assert spark.read.parquet(str(scanned / "catalog")).count() == 4
+    rows = spark.read.parquet(str(scanned / "catalog"))
+    assert rows.count() == 4
+    one = rows.where("full_path like '%old.tmp'").first()
+    told = (scanned / "files" / "x" / "old.tmp").stat()
+    assert (one.mode, one.owner_id, one.inode, one.links) == (told.st_mode, told.st_uid, told.st_ino, 1) and not one.is_hidden
+    assert one.accessed is not None and one.changed is not None and one.size_on_disk == told.st_blocks * 512
     groups = run(spark, scanned, "dedupe")
     assert [(r.size, r.n, r.savings) for r in groups] == [(1024, 2, 1024)]
     assert sorted(r.action for r in run(spark, scanned, "dedupe", "--action", "hardlink")) == ["hardlink", "keep"]

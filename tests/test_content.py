@@ -224,3 +224,51 @@ def test_files_that_differ_in_the_middle_are_no_duplicates(spark):
     files = spark.createDataFrame([(1, 1, bytearray(edge + b"a" + edge)), (2, 1, bytearray(edge + b"b" + edge)), (3, 1, bytearray(b"")), (4, 1, None)], "file_id long, volume_id long, content binary")
     assert D.duplicate_members(files, F.col("content")).count() == 0
     assert [(r.size, r.n) for r in D.signature_candidates(files, F.col("content")).collect()] == [(40_001, 2)]
+
+
+def test_lanes_agree_with_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    datas = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in [0, 1, 2, 63, 64, 65, 9_000] + list(rng.integers(100, 3_000, 60))] + [b"", b"a" * 500]
+    assert K.crc16_of(datas).tolist() == [K._crc16_alone(0, d) for d in datas]
+    assert K.fnv1a_of(datas).tolist() == [K._fnv1a_alone(0x811C9DC5, d) for d in datas]
+    for d, got in zip(datas, Z.rolling_of(datas), strict=True):
+        assert got.tolist() == Z._rolling(np.frombuffer(d, dtype=np.uint8)).tolist()
+    for bounds in ((64, 512, 0x3F), (1, 7, 0x1), (128, 4096, 0x7F)):
+        assert E.chunk_spans_of(datas, *bounds) == [list(E.chunk_spans(d, *bounds)) for d in datas]
+    assert K.crc16_of([b"123456789"]).tolist() == [0xBB3D]
+    df = frame(spark, [*datas, None])
+    assert df.select(K.fnv1a("content").alias("h")).where("h is null").count() == 1
+
+
+def test_banded_pairs_of_two_words_and_wider_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    values = base + [b ^ sum(1 << rng.randrange(128) for _ in range(k % 12)) for k, b in enumerate(base)] + [base[0]]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    data = [(i, signed(v >> 64), signed(v & (2**64 - 1))) for i, v in enumerate(values)]
+    df = spark.createDataFrame([*data, (None, 1, 1), (99, None, 1)], "id long, high long, low long")
+    first = {}
+    for i, v in enumerate(values):
+        first.setdefault(v, i)
+    heads = sorted(first.values())
+    want = {(a, b, (values[a] ^ values[b]).bit_count()) for a in heads for b in heads if a < b and (values[a] ^ values[b]).bit_count() <= 8} | {(first[v], i, 0) for i, v in enumerate(values) if first[v] < i}
+    for rows in (None, 10**9):
+        if rows:
+            real = D._bands
+            monkeypatch.setattr(D, "_bands", lambda n, t, w: real(10**9, t, w))
+        assert set(map(tuple, D.banded_pairs(df, 8, ("high", "low")).collect())) == want
+
+
+def test_alike_by_digest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "TARGETS", 2)
+    rows = [(i, f"{i % 3:02x}" + "0" * 18) for i in range(12)] + [(50, None), (51, "short")]
+    df = spark.createDataFrame(rows, "file_id long, digest string")
+    got = {(r.target_id, r.file_id) for r in D.alike_by_digest(df, df.where("file_id % 2 = 0"), 100).collect()}
+    assert got == {(a, b) for a, x in rows for b, y in rows if a % 2 == 0 and a != b and x and x == y}
+
+
+def test_search_in_slack(spark):
+    image = b"key" + b"." * 7 + b"keykey" + b"-" * 16
+    df = spark.createDataFrame([(1, bytearray(image), 10), (2, bytearray(image), 32), (3, None, 5)], "id long, content binary, size long")
+    assert sorted(map(tuple, E.search_slack(df, "id", F.col("content"), F.col("size"), "key", 32).collect())) == [(1, 10), (1, 13)]
+    assert E.search_slack(df, "id", F.col("content"), F.col("size"), "", 32).count() == 0

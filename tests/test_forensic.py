@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import modes, texts
 from siltstone.operators import logs as L
+from siltstone.operators import memory as M
 from siltstone.operators import network as N
 from siltstone.operators import security as S
 from siltstone.plans import forensic
+from siltstone.sources import sinks
 from siltstone.sources.files import read_pcap, read_trash, scan
 
 SYSLOG = [
@@ -122,3 +124,29 @@ def test_every_event_is_written(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").withColumn("ts", F.timestamp_seconds("event_id"))
     events.write.parquet(str(tmp_path / "events.parquet"))
     assert forensic.log_written(spark, str(tmp_path)).count() == 4
+
+
+def test_patterns_in_blocks_with_nulls_and_empty_ones(spark, monkeypatch):
+    monkeypatch.setattr(S, "PATTERNS", 2)
+    texts = spark.createDataFrame([(1, "abcabc"), (2, ""), (3, None), (4, "ünïc abc")], "id long, t string")
+    patterns = spark.createDataFrame([("abc",), ("bca",), ("c",), ("",), (None,), ("abc",)], "pattern string")
+    got = sorted(map(tuple, S.find_patterns(texts, "id", "t", patterns).collect()))
+    assert got == sorted([(1, "abc", 0), (1, "bca", 1), (1, "c", 2), (4, "abc", 5), (4, "c", 3), (1, "", 0), (2, "", 0), (4, "", 0)])
+    assert S.find_patterns(texts, "id", "t", patterns.limit(0)).count() == 0
+    rules = spark.createDataFrame([("r", "abc", 5, True)], "rule string, pattern string, severity int, enabled boolean")
+    assert [r.id for r in S.scan_rules(texts, rules, "id", "t", exclude=("ün",), path="t").collect()] == [1]
+
+
+def test_thresholds_are_arguments(spark):
+    p = spark.createDataFrame([(1, "a.exe", 60, 5, 5)], "process_id long, process_name string, thread_count int, virtual_size long, working_set_size long")
+    assert M.process_behaviour(p).first().threat_type is None and M.process_behaviour(p, threads=50).first().threat_type == "Unusual Thread Count"
+    assert M.process_behaviour(p, words=("a.",)).first().threat_type == "Suspicious Process Name"
+    c = spark.createDataFrame([(1, 9)], "remote_ip long, remote_port int")
+    assert M.listed_connections(c, spark.createDataFrame([(1,)], "remote_ip long"), ports=(9,)).first()[2:] == (True, True)
+
+
+def test_reports(spark):
+    assert sinks.compliance_report(spark.createDataFrame([(True,), (None,), (False,)], "is_compliant boolean")).first()[:3] == (3, 1, 2)
+    assert sinks.compliance_report(spark.createDataFrame([], "is_compliant boolean")).first().percent == 0.0
+    lines = [r.value for r in sinks.report_lines(spark.createDataFrame([(1, None)], "a int, b string"), "Title").collect()]
+    assert lines == ["Title", "a: 1, b: -"]
