@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import paths
 from siltstone.functions.vectors import label_of
-from siltstone.runtime import BROADCAST_ROWS, Scratch
+from siltstone.runtime import BROADCAST_ROWS, HOT_ROWS, Scratch, hot_limit, lookup_join
 
 _YEAR = 365 * 86_400
 
@@ -189,9 +189,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before, k = None, 0
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        rows = 2 * scratch.rows[f"edges{k}"]
+        hubs = None
+        if rows >= HOT_ROWS:  # hubs may have very many neighbours: no task gathers them
+            least = scratch.write(least, f"least{k}", most=F.max("n"))
+            if scratch.rows[f"least{k}.most"] >= hot_limit(rows):
+                hubs = scratch.write(least.where(F.col("n") >= hot_limit(rows)).select("a"), f"hubs{k}")
+        large = lookup_join(both, least.select("a", "m"), "a", hubs, "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        # After the large step a node's smaller neighbours are few.
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(low, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.hierarchy import ancestors, current_rows, descendants, hierarchy
 from siltstone.operators.snapshots import SnapshotStore, compared_fields, file_snapshot_changes, snapshot_rows
-from siltstone.operators.timestamps import normalise_stamps, read_stamps
+from siltstone.operators.timestamps import ABBREVIATIONS, MONTHS, normalise_stamps, read_stamps
 from siltstone.runtime import Scratch, table
 
 
@@ -88,7 +88,56 @@ WITH RECURSIVE node AS (
   UNION ALL SELECT u.file_id, l.parent FROM up u JOIN link l ON u.above = l.file_id WHERE l.parent IS NOT NULL
 )"""
 
+#: Both instants that the offsets before and after may give are tried: one that shows
+#: the stamp's time again settles it, two different ones or none leave it open.
+_STAMPS = r"""
+WITH raw AS (
+  SELECT 'file_timestamps' AS stamp_table, stamp_id, host_id, creation_time AS stamp FROM file_timestamps
+  UNION SELECT 'trash_entry', trash_id, host_id, deletion_date FROM trash_entry
+  UNION SELECT 'metadata_info', metadata_id, host_id, last_write_time FROM metadata_info
+), s AS (
+  SELECT r.stamp_table, r.stamp_id, h.tz_name, h.locale, trim(regexp_replace(r.stamp, '\s+', ' ', 'g')) AS s FROM raw r LEFT JOIN scan_host h ON r.host_id = h.host_id WHERE r.stamp IS NOT NULL
+), form AS (
+  SELECT *, CASE
+    WHEN regexp_matches(s, '^(\d{9,10}|\d{13}|\d{16,19})$') THEN 'count' WHEN regexp_matches(s, '^\d{9,10}\.\d{1,9}$') THEN 'fraction' WHEN regexp_matches(s, '^0[xX][0-9A-Fa-f]{12,16}$') THEN 'hex'
+    WHEN regexp_matches(s, '^\d{4}-\d\d?-\d\d?[T ]\d') THEN 'iso' WHEN regexp_matches(s, '^\d{8}T?\d{6}$') THEN 'compact' WHEN regexp_matches(s, '^\d\d?[/.]\d\d?[/.]\d{4} ') THEN 'numeric'
+    WHEN regexp_matches(s, '^(\p{L}+, )?\d\d? \p{L}+\.? \d{4} ') THEN 'worded' END AS form
+  FROM s
+), part AS (
+  SELECT *, CASE form
+    WHEN 'iso' THEN regexp_extract(s, '^(\d{4})-(\d\d?)-(\d\d?)[T ](\d\d?)[:.](\d\d)(?:[:.](\d\d)(?:[.,](\d{1,9}))?)?\s*(.*)$', ['y', 'mo', 'd', 'h', 'mi', 's', 'f', 'z'])
+    WHEN 'compact' THEN regexp_extract(s, '^(\d{4})(\d\d)(\d\d)T?(\d\d)(\d\d)(\d\d)()()$', ['y', 'mo', 'd', 'h', 'mi', 's', 'f', 'z'])
+    WHEN 'numeric' THEN CASE WHEN locale IN ('en-US', 'en-PH', 'fil-PH') THEN regexp_extract(s, '^(\d\d?)[/.](\d\d?)[/.](\d{4}) (\d\d?):(\d\d):(\d\d)()(.*)$', ['mo', 'd', 'y', 'h', 'mi', 's', 'f', 'z'])
+      ELSE regexp_extract(s, '^(\d\d?)[/.](\d\d?)[/.](\d{4}) (\d\d?):(\d\d):(\d\d)()(.*)$', ['d', 'mo', 'y', 'h', 'mi', 's', 'f', 'z']) END
+    WHEN 'worded' THEN regexp_extract(s, '^(?:\p{L}+, )?(\d\d?) (\p{L}+)\.? (\d{4}) (\d\d?):(\d\d)(?::(\d\d))?()(.*)$', ['d', 'mo', 'y', 'h', 'mi', 's', 'f', 'z']) END AS v
+  FROM form
+), num AS (
+  SELECT *, try_cast(v.y AS INTEGER) AS y, CASE WHEN form = 'worded' THEN (map {@MONTHS})[lower(v.mo)[1:3]] ELSE try_cast(v.mo AS INTEGER) END AS mo, try_cast(v.d AS INTEGER) AS d,
+    CASE WHEN form = 'numeric' AND trim(v.z) <> '' THEN CASE WHEN try_cast(v.h AS INTEGER) BETWEEN 1 AND 12 THEN try_cast(v.h AS INTEGER) % 12 + CASE WHEN lower(trim(v.z)) = 'pm' THEN 12 ELSE 0 END END ELSE try_cast(v.h AS INTEGER) END AS h,
+    try_cast(v.mi AS INTEGER) AS mi, coalesce(try_cast(v.s AS INTEGER), 0) AS sec, coalesce(try_cast(rpad(v.f, 6, '0')[1:6] AS INTEGER), 0) AS us, CASE WHEN form = 'numeric' THEN '' ELSE trim(v.z) END AS z
+  FROM part
+), clock AS (
+  SELECT *, CASE WHEN h <= 23 AND mi <= 59 AND sec <= 59 THEN epoch_us(try_cast(printf('%04d-%02d-%02d', y, mo, d) AS DATE)::TIMESTAMP) + (h * 3600 + mi * 60 + sec)::BIGINT * 1000000 + us END AS local,
+    CASE form WHEN 'count' THEN CASE WHEN length(s) <= 10 THEN try_cast(s AS BIGINT) * 1000000 WHEN length(s) = 13 THEN try_cast(s AS BIGINT) * 1000 WHEN length(s) = 16 THEN try_cast(s AS BIGINT) WHEN length(s) <= 18 THEN try_cast(s AS BIGINT) // 10 - 11644473600000000 ELSE try_cast(s AS BIGINT) // 1000 END
+      WHEN 'fraction' THEN try_cast(split_part(s, '.', 1) AS BIGINT) * 1000000 + try_cast(rpad(split_part(s, '.', 2), 6, '0')[1:6] AS BIGINT) WHEN 'hex' THEN try_cast('0x' || s[3:] AS BIGINT) // 10 - 11644473600000000 END AS counted,
+    regexp_extract(z, '^(?:UTC|GMT)?([+-])(\d\d?):?(\d\d)?$', ['g', 'h', 'm']) AS o, (map {@ZONES})[z] AS named
+  FROM num
+), zoned AS (
+  SELECT stamp_table, stamp_id, local, coalesce(counted, local - CASE WHEN o.g <> '' THEN CASE o.g WHEN '-' THEN -1 ELSE 1 END * (try_cast(o.h AS BIGINT) * 60 + coalesce(try_cast(o.m AS BIGINT), 0)) ELSE named END * 60000000) AS direct,
+    CASE WHEN z = '' THEN tz_name WHEN z[1] = '[' THEN z[2:-2] END AS zone
+  FROM clock WHERE counted IS NOT NULL OR local IS NOT NULL
+), tried AS (
+  SELECT *, local - (epoch_us(timezone(zone, timezone('UTC', make_timestamp(local - 129600000000)))) - (local - 129600000000)) AS u1, local - (epoch_us(timezone(zone, timezone('UTC', make_timestamp(local + 129600000000)))) - (local + 129600000000)) AS u2
+  FROM zoned
+), fits AS (
+  SELECT *, direct IS NULL AND epoch_us(timezone(zone, timezone('UTC', make_timestamp(u1)))) = local AS ok1, direct IS NULL AND epoch_us(timezone(zone, timezone('UTC', make_timestamp(u2)))) = local AS ok2 FROM tried
+)
+SELECT DISTINCT stamp_table, stamp_id, CASE WHEN direct IS NOT NULL THEN direct WHEN ok1 THEN u1 ELSE u2 END AS utc_us FROM fits WHERE direct IS NOT NULL OR (ok1 AND ok2 AND u1 = u2) OR (ok1 <> ok2 AND (ok1 OR ok2))
+"""
+_STAMPS = _STAMPS.replace("@MONTHS", ", ".join(f"'{n}': {k}" for k, row in MONTHS.items() for n in row.split())).replace("@ZONES", ", ".join(f"'{z}': {m}" for z, m in ABBREVIATIONS.items()))
+
 SQL = {
+    "p1_found": _STAMPS,
     "p3_paths": f"""{_TREES}, below AS (
   SELECT u.above AS file_id, sum(l.own) AS s FROM up u JOIN link l ON u.file_id = l.file_id GROUP BY 1
 )

@@ -303,3 +303,12 @@ def test_faults_of_layouts_are_seen(spark):
     out = [(3, 1, 0.0, 0.0, 0.5, 1.0), (3, 2, 0.75, 0.0, 0.5, 1.0)]
     got = {f.parent: (f.fills, f.inside, f.apart) for f in Y.layout_faults(spark.createDataFrame(ok + over + out, r), 1.0, 1.0).collect()}
     assert got[1] == (True, True, True) and got[2] == (True, True, False) and not got[3][1]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(K, "HOT_ROWS", 5)
+    monkeypatch.setattr(K, "hot_limit", lambda rows: 6)
+    edges = [(500, i) for i in range(1, 30)] + [(i, 600) for i in range(100, 130)] + [(700, 701), (701, 702), (600, 777)]
+    got = {r.id: r.component for r in K.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {x: 1 for x in (500, *range(1, 30))} | {x: 100 for x in (600, 777, *range(100, 130))} | {x: 700 for x in (700, 701, 702)}
+    assert got == want

@@ -114,7 +114,7 @@ def test_models_beat_a_guess(spark, small, vectors):
 
 
 def test_every_stamp_has_an_instant_or_a_reason(spark, small):
-    found = rows(spark, small, "p1_found")
+    found = [tuple(r) for r in QUERIES["p1_found"](spark, small).collect()]
     assert len(found) == len(set(found)) == len({r[:2] for r in found})
     counts = {r[:2]: r[2] for r in rows(spark, small, "p1_reasons")}
     for name, key, _ in (("file_timestamps", "stamp_id", 0), ("trash_entry", "trash_id", 0), ("metadata_info", "metadata_id", 0)):
