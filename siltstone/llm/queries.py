@@ -10,7 +10,7 @@ from siltstone.llm.history import History, accept_batches, accept_catalog, dupli
 from siltstone.llm.language import languages_not_named
 from siltstone.llm.neighbours import expanded_pairs, nearest_of, recall, similar_vectors
 from siltstone.llm.packing import audit, pack_documents, split_documents
-from siltstone.llm.survivor import duplicate_group_survivors
+from siltstone.llm.survivor import duplicate_group_records, duplicate_group_survivors
 from siltstone.llm.topn import top_n_per_group
 from siltstone.operators.hierarchy import current_rows
 from siltstone.runtime import Scratch, table
@@ -73,6 +73,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_group_survivors(table(spark, sf_dir, "duplicate_group"), hosts, hosts.count())
 
 
+def p7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that each group's surviving values make."""
+    hosts = table(spark, sf_dir, "scan_host")
+    got = duplicate_group_records(table(spark, sf_dir, "duplicate_group"), hosts, hosts.count())
+    return got.select("group_id", "members", F.col("base").alias("base_file_id"), "complete", "full_path", F.unix_micros("last_write_time").alias("last_write_us"), "owner_name", "mode")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "container_spec").agg(F.max("capacity_tokens")).first()[0]
     placements, _, _ = pack_documents(table(spark, sf_dir, "documents"), capacity)
@@ -94,11 +101,40 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages_not_named(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_resumed, p5_found, p5_nearest, p5_recall, p7_found, p8_found, p8_audit, p9_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_resumed, p5_found, p5_nearest, p5_recall, p7_found, p7_records, p8_found, p8_audit, p9_found, p10_found)}
 
 _CURRENT = "SELECT * FROM file_entry QUALIFY row_number() OVER (PARTITION BY volume_id, file_id ORDER BY seq DESC) = 1"
 
+_MEMBER = """WITH member AS (
+  SELECT DISTINCT group_id, f.file_id AS file_id, h.trust_rank,
+    CASE WHEN year(f.last_write_time) BETWEEN 1980 AND 2025 THEN f.last_write_time END AS t,
+    CASE WHEN lower(trim(f.full_path)) NOT IN ('', '?', '-', 'n/a', 'unknown', '(unknown)', '(null)') THEN f.full_path END AS p,
+    CASE WHEN lower(trim(f.owner_name)) NOT IN ('', '?', '-', 'n/a', 'unknown', '(unknown)', '(null)') THEN f.owner_name END AS o,
+    nullif(f.mode, 0) AS m
+  FROM (SELECT group_id, unnest(files) AS f FROM duplicate_group) LEFT JOIN scan_host h ON f.host_id = h.host_id
+"""
+
+#: Words without case, accents and punctuation.
+_WORDS = "string_split(trim(regexp_replace(lower(strip_accents(regexp_replace(text, '(\\p{L}|\\d)[''’ʼ`´](\\p{L}|\\d)', '\\1\\2', 'g'))), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+
 SQL = {
+    # A token of these texts has 2 to 5 characters, and none is near the limit.
+    "p8_found": "SELECT doc_id FROM documents, (SELECT max(capacity_tokens) AS c FROM container_spec) WHERE length(text) > 5 * c",
+    # With one changed word in twelve, six in a row before or behind it are the item's.
+    "p9_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_item),
+passage AS (SELECT item_id, w[p:p+11] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),
+half AS (SELECT item_id, g, 0 AS at, array_to_string(g[1:6], ' ') AS h FROM passage UNION ALL SELECT item_id, g, 6, array_to_string(g[7:12], ' ') FROM passage),
+six AS (SELECT doc_id, p, array_to_string(w[p:p+5], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS p FROM d)),
+near AS (SELECT s.doc_id, x.item_id, x.g, s.p - x.at AS start FROM half x JOIN six s ON x.h = s.h)
+SELECT DISTINCT item_id, n.doc_id FROM near n JOIN d ON d.doc_id = n.doc_id
+WHERE start >= 1 AND start + 11 <= len(w) AND len(list_filter(range(1, 13), lambda k: g[k] <> w[start + k - 1])) <= 1""",
+    "p7_records": f"""
+{_MEMBER}), scored AS (SELECT *, (p IS NOT NULL)::INTEGER + (t IS NOT NULL)::INTEGER + (o IS NOT NULL)::INTEGER + (m IS NOT NULL)::INTEGER AS c FROM member)
+SELECT group_id, count(DISTINCT file_id) AS members, list(file_id ORDER BY c DESC, trust_rank NULLS LAST, t DESC NULLS LAST, file_id)[1] AS base_file_id, max(c) AS complete,
+  list(p ORDER BY trust_rank NULLS LAST, t DESC NULLS LAST, file_id) FILTER (WHERE p IS NOT NULL)[1] AS full_path, epoch_us(list(t ORDER BY trust_rank NULLS LAST, t DESC NULLS LAST, file_id) FILTER (WHERE t IS NOT NULL)[1]) AS last_write_us,
+  list(o ORDER BY trust_rank NULLS LAST, t DESC NULLS LAST, file_id) FILTER (WHERE o IS NOT NULL)[1] AS owner_name, list(m ORDER BY trust_rank NULLS LAST, t DESC NULLS LAST, file_id) FILTER (WHERE m IS NOT NULL)[1] AS mode
+FROM scored GROUP BY group_id""",
     "p2_found": f"""
 SELECT * FROM (
   SELECT volume_id, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY size_logical DESC, file_id) AS INTEGER) AS rank_no, file_id
@@ -135,15 +171,8 @@ FROM (SELECT * FROM f WHERE hi <> 0 OR lo <> 0) a JOIN (SELECT * FROM f WHERE hi
 WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12
 """,
     "p5_recall": f"SELECT count(*) AS queries, true AS enough FROM ({_CURRENT}) WHERE NOT deleted AND file_id % 100 = 0 AND hex(perceptual_hash) <> repeat('0', 32)",
-    "p7_found": """
-WITH member AS (
-  SELECT DISTINCT group_id, f.file_id AS file_id, h.trust_rank,
-    CASE WHEN year(f.last_write_time) BETWEEN 1980 AND 2025 THEN f.last_write_time END AS t,
-    CASE WHEN lower(trim(f.full_path)) NOT IN ('', '?', '-', 'n/a', 'unknown', '(unknown)', '(null)') THEN f.full_path END AS p,
-    CASE WHEN lower(trim(f.owner_name)) NOT IN ('', '?', '-', 'n/a', 'unknown', '(unknown)', '(null)') THEN f.owner_name END AS o,
-    nullif(f.mode, 0) AS m
-  FROM (SELECT group_id, unnest(files) AS f FROM duplicate_group) LEFT JOIN scan_host h ON f.host_id = h.host_id
-), told AS (
+    "p7_found": f"""
+{_MEMBER}), told AS (
   SELECT group_id, file_id, trust_rank, t, 'full_path' AS field_name FROM member WHERE p IS NOT NULL
   UNION ALL SELECT group_id, file_id, trust_rank, t, 'last_write_time' FROM member WHERE t IS NOT NULL
   UNION ALL SELECT group_id, file_id, trust_rank, t, 'owner_name' FROM member WHERE o IS NOT NULL

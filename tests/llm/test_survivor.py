@@ -1,6 +1,8 @@
 import datetime as dt
 
-from siltstone.llm.survivor import duplicate_group_survivors
+from pyspark.sql import functions as F
+
+from siltstone.llm.survivor import duplicate_group_survivors, surviving_records
 
 GROUPS = "group_id long, files array<struct<file_id long, volume_id long, host_id int, full_path string, size_logical long, last_write_time timestamp, owner_name string, mode int>>, potential_savings long"
 HOSTS = "host_id int, trust_rank int"
@@ -44,3 +46,15 @@ def test_empty_table_long_text_and_clashing_columns(spark):
     groups = spark.createDataFrame([(1, [member(1, 1, path="x" * 200_000)], 0, 5, "t")], GROUPS + ", trust_rank int, field_name string")
     hosts = spark.createDataFrame([(1, 1, 3)], HOSTS + ", file_id long")
     assert len(duplicate_group_survivors(groups, hosts, 1).collect()) == 4
+
+
+def test_records_of_complete_trusted_and_recent_members(spark):
+    schema = "g long, i long, trust int, seen long, path string, owner string, extra int"
+    rows = [
+        (1, 1, 1, 5, None, "a", 0), (1, 2, 2, 9, "/p2", "b", 0), (1, 3, 2, 9, "/p3", "c", 0), (1, 3, 2, 9, "/p3", "c", 0), (1, 4, None, 99, "/p4", "d", 0),
+        (2, 7, None, None, None, None, 0), (None, 1, 1, 1, "x", "y", 0), (3, None, 1, 1, "x", "y", 0), (4, 9, 1, None, "n", None, 0), (4, 8, 1, 1, "s", None, 0),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.g: tuple(r)[1:] for r in surviving_records(df, "g", "i", "trust", "seen", {"path": F.col("path").isNotNull(), "owner": F.col("owner").isNotNull()}).collect()}
+    assert got == {1: (4, 2, 2, "/p2", "a"), 2: (1, 7, 0, None, None), 4: (2, 8, 1, "s", None)}
+    assert surviving_records(df.limit(0), "g", "i", "trust", "seen", {"path": F.lit(True)}).collect() == []
