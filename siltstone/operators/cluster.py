@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import paths
+from siltstone.functions.fuzzy import tlsh_score
 from siltstone.functions.vectors import label_of
 from siltstone.runtime import BROADCAST_ROWS, HOT_ROWS, Scratch, hot_limit, lookup_join
 
@@ -82,34 +84,54 @@ def _in_blocks(rows: DataFrame, asked: DataFrame, spread: list[str], search) ->
     return out
 
 
-def similar_files(features: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
+#: What the similarity of two files may be made of.
+PARTS = ("size", "type", "time", "features", "digest")
+
+
+def similar_files(features: DataFrame, targets: DataFrame, threshold: float, use: tuple[str, ...] = PARTS[:4]) -> DataFrame:
     """(target_id, file_id, similarity) of a stated set of targets.
 
-    A mean of four likenesses that reaches the threshold leaves none of them far
-    below it: up from 0.775 files must be of one type, and their sizes must lie
-    in the same or the next band.  Only such files meet; files without a size
-    meet all of their type, and files of one path meet whatever else they are.
-    Below that, targets go in blocks through every task.
+    ``use`` names the likenesses whose mean counts; ``digest`` compares the
+    locality digests of that column.  A mean that reaches the threshold leaves
+    none of them far below it: up from some threshold files must be of one
+    type, and their sizes must lie in the same or the next band.  Only such
+    files meet; files without a size meet all of their type, and files of one
+    path meet whatever else they are.  Below that, targets go in blocks through
+    every task.
     """
-    columns = ["file_id", "full_path", "size", "type", "modified_s", "features"]
-    if threshold <= 0.775:
-        search = lambda rows, asked: _similar(rows, asked, threshold)
-        return _in_blocks(features.select(*columns), targets.select(*columns), ["file_id", "full_path", "size", "modified_s"], search)
-    least = 1 - 4 * (1 - threshold)  # of one likeness, if the other three are 1
-    width = math.log((2 - least) / least) * (1 + 1e-9)
-    band = F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / width)).otherwise(-1)
-    a = features.select(*columns).withColumn("band", band)
-    b = targets.select(*(F.col(c).alias(f"t_{c}") for c in columns)).withColumn("t_band", F.when(F.col("t_size") > 0, F.floor(F.log(F.col("t_size").cast("double")) / width)).otherwise(-1))
-    around = b.where("t_band >= 0").withColumn("band", F.explode(F.array(F.col("t_band") - 1, F.col("t_band"), F.col("t_band") + 1))).where("band >= 0")
-    met = a.where("band >= 0").join(around, (F.col("type") == F.col("t_type")) & (a["band"] == around["band"])).drop("band", "t_band")
-    sizeless = a.where("band < 0").join(b, F.col("type") == F.col("t_type")).drop("band", "t_band").unionByName(a.where("band >= 0").join(b.where("t_band < 0"), F.col("type") == F.col("t_type")).drop("band", "t_band"))
+    if not use or set(use) - set(PARTS):
+        raise ValueError(f"use {use}")
+    columns = ["file_id", "full_path", "size", "type", "modified_s", "features", *(["digest"] if "digest" in use else [])]
+    n = len(use)
+    a, b = features.select(*columns), targets.select(*(F.col(c).alias(f"t_{c}") for c in columns))
+    one_type = F.col("type") == F.col("t_type")
+    least = 1 - n * (1 - threshold)  # of one likeness, if the others are 1
+    if "type" not in use or threshold <= (n - 0.9) / n:
+        if use == PARTS[:4]:
+            search = lambda rows, asked: _similar(rows, asked, threshold)
+            return _in_blocks(a, targets.select(*columns), ["file_id", "full_path", "size", "modified_s"], search)
+        scratch = Scratch(features.sparkSession, "similar")
+        a, b = scratch.write(a, "rows"), scratch.write(b, "asked")
+        blocks = max(1, -(-scratch.rows["asked"] * 10 // BROADCAST_ROWS))
+        parts = [a.join(F.broadcast(b.where(F.pmod(F.xxhash64("t_file_id", "t_full_path"), F.lit(blocks)) == k)), F.lit(True)) for k in range(blocks)]  # a stated set, in blocks
+        met = reduce(DataFrame.unionByName, parts)
+    elif "size" not in use or least <= 0:
+        met = a.join(b, one_type)
+    else:
+        width = math.log((2 - least) / least) * (1 + 1e-9)
+        band = lambda c: F.when(F.col(c) > 0, F.floor(F.log(F.col(c).cast("double")) / width)).otherwise(-1)
+        a, b = a.withColumn("band", band("size")), b.withColumn("t_band", band("t_size"))
+        around = b.where("t_band >= 0").withColumn("band", F.explode(F.array(F.col("t_band") - 1, F.col("t_band"), F.col("t_band") + 1))).where("band >= 0")
+        met = a.where("band >= 0").join(around, one_type & (a["band"] == around["band"])).drop("band", "t_band")
+        met = met.unionByName(a.where("band < 0").join(b, one_type).drop("band", "t_band")).unionByName(a.where("band >= 0").join(b.where("t_band < 0"), one_type).drop("band", "t_band"))
+        a, b = a.drop("band"), b.drop("t_band")
     one_path = a.join(b, F.col("full_path") == F.col("t_full_path")).select("t_file_id", "file_id", F.lit(1.0).alias("similarity"))
-    found = met.unionByName(sizeless).where(~F.col("full_path").eqNullSafe(F.col("t_full_path"))).select("t_file_id", "file_id", _similarity().alias("similarity")).where(F.col("similarity") >= threshold)
+    found = met.where(~F.col("full_path").eqNullSafe(F.col("t_full_path"))).select("t_file_id", "file_id", _similarity(use).alias("similarity")).where(F.col("similarity") >= threshold)
     return found.unionByName(one_path).select(F.col("t_file_id").alias("target_id"), "file_id", "similarity")
 
 
-def _similarity() -> Column:
-    """``similarities`` of the two files of a row, as an expression."""
+def _similarity(use: tuple[str, ...]) -> Column:
+    """Mean of the likenesses of the two files of a row that both sides allow."""
 
     def like(x: str, more: float = 0.0) -> Column:
         one, other = F.coalesce(F.col(x), F.lit(0)).cast("double"), F.coalesce(F.col(f"t_{x}"), F.lit(0)).cast("double")
@@ -118,10 +140,13 @@ def _similarity() -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     f, g = F.col("features"), F.col("t_features")
     length = F.greatest(F.sqrt(dot(f, f)), F.lit(1e-300)) * F.greatest(F.sqrt(dot(g, g)), F.lit(1e-300))
-    size, time = like("size"), like("modified_s", 1.0)
-    kind = F.when(F.col("type") == F.col("t_type"), 1.0).otherwise(0.1)
-    known = 2 + size.isNotNull().cast("int") + time.isNotNull().cast("int")
-    return (F.coalesce(size, F.lit(0.0)) + F.coalesce(time, F.lit(0.0)) + kind + dot(f, g) / length) / known
+    every = {
+        "size": lambda: like("size"), "time": lambda: like("modified_s", 1.0), "type": lambda: F.when(F.col("type") == F.col("t_type"), 1.0).otherwise(0.1),
+        "features": lambda: dot(f, g) / length, "digest": lambda: tlsh_score(F.col("digest"), F.col("t_digest")) / 100,
+    }
+    parts = [every[name]() for name in use]
+    known = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
+    return F.coalesce(sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)) / F.nullif(known, F.lit(0)), F.lit(0.0))
 
 
 def _similar(rows: DataFrame, asked: pd.DataFrame, threshold: float) -> DataFrame:

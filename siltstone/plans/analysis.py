@@ -80,6 +80,12 @@ def similar_files(spark, d):
     return K.similar_files(f, f.where("file_id % 100 = 0"), 0.995).select("target_id", "file_id", F.round("similarity", 6).alias("similarity"))
 
 
+def similar_by_options(spark, d):
+    """As similar_files, by size, type and time alone."""
+    f = K.file_features(_features(spark, d))
+    return K.similar_files(f, f.where("file_id % 100 = 0"), 0.999, ("size", "type", "time")).select("target_id", "file_id", F.round("similarity", 6).alias("similarity"))
+
+
 def cluster_cohesion(spark, d):
     got = K.cluster_cohesion(table(spark, d, "embeddings"), "label", "embedding")
     return got.withColumn("cohesion", F.round("cohesion", 6))
@@ -319,7 +325,7 @@ _ENUM = lambda names: "CASE n " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in en
 QUERIES = {
     f.__name__: f
     for f in (
-        vector_distances, vector_classes, logistic_loss, nearest_vectors, file_features, training_rows, similar_files, cluster_cohesion, cluster_sizes, linked_orders, density_clusters, leader_clusters, model_accuracy,
+        vector_distances, vector_classes, logistic_loss, nearest_vectors, file_features, training_rows, similar_files, similar_by_options, cluster_cohesion, cluster_sizes, linked_orders, density_clusters, leader_clusters, model_accuracy,
         cross_validation, treemap_strips, treemap_squarified, treemap_fit, treemap_hits, treemap_shelves, treemap_spiral, treemap_visible, text_scalars, time_scalars, mode_round_trip, enumerations, dump_formats, export_json, stream_windows,
         stream_sliding, stream_histogram, stream_distinct, stream_catalog, stream_rings, event_sessions, display_scalars, type_texts, model_round_trip, export_formats, linked_to_k,
     )
@@ -358,6 +364,12 @@ FROM {_FEATURES} a JOIN {_FEATURES} b ON b.file_id % 100 = 0, LATERAL (SELECT li
   CASE WHEN a.size > 0 AND b.size > 0 THEN 1 - abs(a.size - b.size) / (a.size + b.size) END, CASE WHEN a.type = b.type THEN 1.0 ELSE 0.1 END::DOUBLE,
   CASE WHEN a.modified_s > 0 AND b.modified_s > 0 THEN 1 - abs(a.modified_s - b.modified_s) / (a.modified_s + b.modified_s + 1) END, array_cosine_similarity(a.f, b.f)], lambda q: q IS NOT NULL)) AS v)
 WHERE CASE WHEN a.full_path = b.full_path THEN 1.0 ELSE v END >= 0.995""",
+    "similar_by_options": f"""
+SELECT b.file_id AS target_id, a.file_id, round(CASE WHEN a.full_path = b.full_path THEN 1.0 ELSE v END, 6) AS similarity
+FROM {_FEATURES} a JOIN {_FEATURES} b ON b.file_id % 100 = 0, LATERAL (SELECT list_avg(list_filter([
+  CASE WHEN a.size > 0 AND b.size > 0 THEN 1 - abs(a.size - b.size) / (a.size + b.size) END, CASE WHEN a.type = b.type THEN 1.0 ELSE 0.1 END::DOUBLE,
+  CASE WHEN a.modified_s > 0 AND b.modified_s > 0 THEN 1 - abs(a.modified_s - b.modified_s) / (a.modified_s + b.modified_s + 1) END], lambda q: q IS NOT NULL)) AS v)
+WHERE CASE WHEN a.full_path = b.full_path THEN 1.0 ELSE v END >= 0.999""",
     "cluster_cohesion": """
 WITH p AS (SELECT a.label, avg(array_cosine_similarity(a.embedding::DOUBLE[64], b.embedding::DOUBLE[64])) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1)
 SELECT e.label, count(*) AS n, round(coalesce(max(c), 1.0), 6) AS cohesion FROM embeddings e LEFT JOIN p ON e.label = p.label GROUP BY 1""",

@@ -312,3 +312,16 @@ def test_components_with_hubs(spark, monkeypatch):
     got = {r.id: r.component for r in K.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {x: 1 for x in (500, *range(1, 30))} | {x: 100 for x in (600, 777, *range(100, 130))} | {x: 700 for x in (700, 701, 702)}
     assert got == want
+
+
+def test_similarity_options(spark):
+    f = "file_id long, full_path string, size long, type string, modified_s long, features array<double>, digest string"
+    rows = [(1, "/a", 100, "txt", 1000, [1.0, 0.0], "abcd"), (2, "/b", 100, "pdf", 1000, [0.0, 1.0], "abcx"), (3, "/c", None, "txt", None, [1.0, 0.0], None), (4, "/a", 7, "bin", 9, [0.0, 0.0], "zz")]
+    df = spark.createDataFrame(rows, f)
+    run = lambda threshold, *use: {(r.file_id, round(r.similarity, 6)) for r in K.similar_files(df, df.where("file_id = 1"), threshold, use).collect()}
+    assert run(0.7, "digest") == {(1, 1.0), (2, 0.75), (4, 1.0)}
+    assert run(0.9, "size", "time") == {(1, 1.0), (2, 1.0), (4, 1.0)}
+    assert run(0.95, "type", "features") == {(1, 1.0), (3, 1.0), (4, 1.0)}
+    assert run(0.99, "size", "type") == {(1, 1.0), (3, 1.0), (4, 1.0)}
+    with pytest.raises(ValueError):
+        run(0.5, "colour")
