@@ -150,3 +150,15 @@ def test_reports(spark):
     assert sinks.compliance_report(spark.createDataFrame([], "is_compliant boolean")).first().percent == 0.0
     lines = [r.value for r in sinks.report_lines(spark.createDataFrame([(1, None)], "a int, b string"), "Title").collect()]
     assert lines == ["Title", "a: 1, b: -"]
+
+
+def test_vulnerabilities_say_what_is_not_known(spark):
+    v = spark.createDataFrame([("a", "easy", "http://x"), ("b", None, None)], "vulnerability_id string, exploitability string, patch_url string")
+    got = {r.vulnerability_id: (r.exploit_details, r.patch_details, r.is_patch_available) for r in S.assess_vulnerabilities(v).collect()}
+    assert got == {"a": ("easy", "http://x", True), "b": ("No exploit information available", "No patch information available", False)}
+
+
+def test_policies_from_templates(spark):
+    t = spark.createDataFrame([("Audit", None, None, None, "Low")], "type string, template_name string, description string, recommended_setting string, severity_if_violated string")
+    r = S.policies_from_templates(t).first()
+    assert (r["name"], r.description, r.is_compliant, r.recommended_action, r.severity) == ("Unknown Template", "Template-based policy", False, "No recommendation", "Low")
