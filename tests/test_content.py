@@ -267,6 +267,37 @@ def test_alike_by_digest_in_blocks(spark, monkeypatch):
     assert got == {(a, b) for a, x in rows for b, y in rows if a % 2 == 0 and a != b and x and x == y}
 
 
+def test_alike_by_digest_compares_each_digest_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "GIVEN", 5, raising=False)  # parts for the digests of many files, which also count as hot
+    monkeypatch.setattr(D, "hot_limit", lambda rows: 100, raising=False)
+    rng = random.Random(9)
+    base = [["".join(rng.choices("0123é", k=n)) for _ in range(6)] for n in (10, 10, 23, 40)]
+    kinds = [d[:i] + rng.choice("01") + d[i + 1 :] for some in base for d in some for i in range(0, len(d), 3)] + ["", "\0", "0"]
+    digests = [rng.choice(kinds) for _ in range(600)] + [kinds[0]] * 200 + [None] * 20
+    df = spark.createDataFrame(list(enumerate(digests)), "file_id long, digest string")
+
+    def score(a, b):
+        return 100 if a == b else 0 if len(a) != len(b) else sum(x == y for x, y in zip(a, b, strict=True)) * 100 // len(a)
+
+    for least in (90, 100, 37):
+        found = D.alike_by_digest(df, df.where("file_id % 7 = 0"), least)
+        # Scores are those of different digests: none is computed where files meet targets.
+        assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+        want = [(i, j, s) for i, a in enumerate(digests) if i % 7 == 0 and a is not None for j, b in enumerate(digests) if b is not None and i != j and len(a) == len(b) and (s := score(a, b)) >= least]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_digests_are_compared_in_blocks(monkeypatch):
+    rng = random.Random(10)
+    digests, asked = (["".join(rng.choices("01", k=rng.choice((0, 1, 9, 300)))) for _ in range(n)] for n in (70, 30))
+    want = {(i, j, sum(x == y for x, y in zip(a, b, strict=True)) * 100 // len(a) if a else 100) for i, a in enumerate(digests) for j, b in enumerate(asked) if len(a) == len(b)}
+    for pairs in (1, 64, 1 << 20):
+        monkeypatch.setattr(Z, "PAIRS", pairs, raising=False)
+        for least in (0, 55, 100):
+            got = [(int(i), int(j), int(s)) for some in Z.alike_of(digests, asked, least) for i, j, s in zip(*some, strict=True)]
+            assert sorted(got) == sorted(x for x in want if x[2] >= least)
+
+
 def test_search_in_slack(spark):
     image = b"key" + b"." * 7 + b"keykey" + b"-" * 16
     df = spark.createDataFrame([(1, bytearray(image), 10), (2, bytearray(image), 32), (3, None, 5)], "id long, content binary, size long")
